@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import decontaminate, jaccard, lines, mixing, simple8b
+from . import chat, decontaminate, jaccard, lines, mixing, quality, simple8b, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +46,43 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
 
 
+#: verdict, host, path
+URL_RULES = [("allow", "com", ""), ("block", "example.com", "en/"), ("allow", "www.example.com", "en/"), ("block", "net", "es/"), ("block", "net", "fr/")]
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    read = warc.read_warc(warc.write_warc(pages, least=100), keep_payload=False).where("gap is null")
+    kind = pages.schema["page_id"].dataType
+    return read.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings: 0 for bad quality, 1 for good but toxic, 2 for good. Kept: at least 1 is likelier than not."""
+    labels = _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"))
+    return quality.grade_documents(_table(spark, sf_dir, "documents"), ratings, n_grades=3, at_least=1, select=0.5)
+
+
+def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
+def op8_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last number of a page's URL is the id of the document it shows; that document's labels are the page's."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    labels = labels.groupBy(F.col("doc_id").alias("of")).agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).cast("int").alias("good"))
+    number = F.try_to_number(F.regexp_extract(urls.path_of(F.col("url")), r"(\d{1,18})(?:\.\w+)?/?$", 1), F.lit("9" * 18)).cast("long")
+    both = pages.select("page_id", "url", number.alias("of")).join(labels, "of", "left")
+    return urls.judge_urls(both, URL_RULES, F.col("good")).drop("template", "purity")
+
+
 QUERIES = {
-    "op1_pareto_mix": op1_pareto_mix,
-    "op4_simple8b": op4_simple8b,
-    "op6_suffix_decontamination": op6_suffix_decontamination,
-    "op9_line_cleaning": op9_line_cleaning,
-    "op10_jaccard_join": op10_jaccard_join,
+    f.__name__: f
+    for f in (op1_pareto_mix, op2_warc, op3_ordinal_quality, op4_simple8b, op5_weak_toxicity, op6_suffix_decontamination, op7_snapshot_collapse, op8_path_templates, op9_line_cleaning, op10_jaccard_join)
 }
 SQL: dict[str, str] = {}

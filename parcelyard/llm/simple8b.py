@@ -302,7 +302,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
             counts = np.concatenate(lengths)
             body = shard_bytes(np.concatenate(ids), counts, keys)
             name = f"part-{part:06d}-{shard:06d}-{attempt}.s8"
-            with fs.open_output_stream(f"{root}/{name}") as out:
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(body)
             row = pa.record_batch([pa.array([x]) for x in (f"{folder}/{name}", part, shard, len(keys), int(counts.sum()), len(body))], ROWS.names)
             shard, n = shard + 1, 0
