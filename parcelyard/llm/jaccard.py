@@ -56,7 +56,7 @@ def _sketch_of(shingle: int):
     return run
 
 
-def _merge(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sum of the counters of one chunk and lane, batch by batch."""
     total = np.zeros(_CHUNK, np.uint64)
     for batch in batches:
