@@ -10,10 +10,11 @@ How it scales:
   never too low). Its size is fixed, so its logarithms can be broadcast (1 MB). Any counts give right
   results; good ones keep passages that many documents share out of the prefixes.
 * Documents with equal sets become one node, by partial aggregation, before any pair is made.
-* Of prefix n-grams that two or more nodes share, one node is the centre and is paired with the others
-  (as many pairs as rows, not its square). After those are verified, only pairs of different components
-  are left to be made, and in each bucket only by nodes outside of the component that is the most
-  frequent there. So a bucket that holds one large group of near copies makes no pairs within the group,
+* Of prefix n-grams that two or more nodes share, one node is the centre, that with the most shared grams,
+  and is paired with the others (as many pairs as rows, not its square). After those are verified, the
+  centre of the most frequent component is paired with the nodes of others, and so on. At the end only
+  pairs of different components are left to be made, and in each bucket only by nodes outside of the
+  component that is the most frequent there. So a bucket that holds one large group of near copies makes no pairs within the group,
   and every link between nodes of different components is still found.
 * All joins are plain equi-joins of shuffled tables, which adaptive execution splits when a key is hot.
 """
@@ -186,15 +187,18 @@ class _Join:
         self.nodes = stored(sets.df.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")), "nodes")
         sets.drop()
         entries = self.nodes.select("node", "n", F.posexplode("prefix").alias("at", "gram"))
-        shared = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-        self.entries = stored(entries.join(shared, "gram"), "entries")  #: gram, node, n, at: of grams that several nodes have
+        shared = entries.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+        found = Stored(entries.join(shared, "gram"), "shared")
+        # A node whose grams many others have is likely what they were copied from
+        weight = found.df.groupBy("node").agg(F.sum("m").alias("weight"))
+        self.entries = stored(found.df.drop("m").join(weight, "node").select("gram", "node", "n", "at", "weight"), "entries")  #: of grams that several nodes have
+        found.drop()
         self.texts: list[DataFrame] = []
         self.tested: DataFrame | None = None
         self.edges: DataFrame | None = None
 
     def near(self, x: str, y: str):
         """Length filter, and the positional filter for a gram that x and y share."""
-        nx, ny, ax, ay = (F.col(f"{t}.{c}") for c in ("n", "at") for t in (x, y))
         nx, ny, ax, ay = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
         length = F.least(nx, ny) * self.den >= F.greatest(nx, ny) * self.num
         most = F.least(nx - ax, ny - ay)
@@ -228,21 +232,34 @@ class _Join:
         edges = done.where("linked").select("a", "b")
         self.edges = edges if self.edges is None else self.edges.unionByName(edges)
 
-    def stars(self) -> None:
-        centre = self.entries.groupBy("gram").agg(F.min(F.struct("node", "n", "at")).alias("c"))
-        both = self.entries.alias("x").join(centre.select("gram", "c.*").alias("y"), "gram")
-        self.test(both.where((F.col("x.node") != F.col("y.node")) & self.near("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-
-    def rest(self) -> None:
-        """All pairs of entries in a bucket that are of different components, which one star did not join."""
+    def mixed(self) -> tuple[DataFrame, DataFrame]:
+        """Entries, with labels, of buckets that hold several components; and each such bucket's most frequent label and its centre."""
         if self.edges is None:
-            labels = self.nodes.select("node", F.col("node").alias("label")).limit(0)
+            entries = self.entries.withColumn("label", F.col("node"))
         else:
-            labels = components(self.edges)
-        entries = stored(self.entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        per = entries.groupBy("gram", "label").agg(F.count("*").alias("m"))
-        main = per.groupBy("gram").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("gram", F.col("top.label").alias("main"))
-        mixed = stored(entries.join(main, "gram"), "mixed")
+            entries = stored(self.entries.join(components(self.edges), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        per = entries.groupBy("gram", "label").agg(F.count("*").alias("m"), F.max(F.struct("weight", "node", "n", "at")).alias("centre"))
+        main = per.groupBy("gram").agg(F.max(F.struct("m", "centre.weight", "label", "centre")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+        main = stored(main.select("gram", F.col("top.label").alias("main"), F.col("top.centre").alias("centre")), "main")
+        return entries, main
+
+    def stars(self, rounds: int = 3) -> None:
+        """Pairs of the centre of each bucket's main component with the nodes of others; again, while that joins more."""
+        before = 0
+        for _ in range(rounds):
+            entries, main = self.mixed()
+            centre = main.select("gram", "main", "centre.node", "centre.n", "centre.at")
+            both = entries.alias("x").join(centre.alias("y"), "gram").where((F.col("x.label") != F.col("y.main")) & self.near("x", "y"))
+            self.test(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+            after = 0 if self.edges is None else self.edges.count()
+            if after == before:
+                return
+            before = after
+
+    def rest(self) -> None:
+        """All pairs of entries in a bucket that are still of different components."""
+        entries, main = self.mixed()
+        mixed = stored(entries.join(main.select("gram", "main"), "gram"), "mixed")
         few = mixed.where("label <> main").alias("x")
         both = few.join(mixed.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & self.near("x", "y"))
         self.test(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
