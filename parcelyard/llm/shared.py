@@ -1,55 +1,5 @@
 """Where intermediate tables live, and how they are written and read again."""
 
-from __future__ import annotations
+from ..storage import Stored, new_path, open_shared, shared_dir, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests in one
-    process) a temporary folder of this machine is set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="parcelyard-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/parcelyard/{name}-{uuid.uuid4().hex}"
-
-
-class Stored:
-    """A DataFrame written as Parquet to the shared folder, so that its lineage is cut."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Delete the files; the DataFrame can't be read any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` read again from a table written in the shared folder."""
-    return Stored(df, name).df
-
-
-def open_shared(uri: str):
-    """The pyarrow file system and the path in it for a URI of the shared folder."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
+__all__ = ["Stored", "new_path", "open_shared", "shared_dir", "stored"]
