@@ -69,14 +69,14 @@ def features(column: pa.Array) -> tuple[Sparse, Words]:
     row = np.concatenate([row, *[every] * (len(SHAPES) + 1)])
     feature = np.concatenate([feature, *[np.full(rows, N_HASHED + k) for k in range(len(SHAPES) + 1)]])
     value = np.concatenate([value, *shapes, np.ones(rows)])
-    return Sparse(rows, row, feature, value.astype(np.float32)), w
+    return Sparse(rows, row.astype(np.int32), feature.astype(np.int32), value.astype(np.float32)), w
 
 
 def stacked(parts: list[Sparse]) -> Sparse:
     """Rows of all parts, one after the other."""
     starts = np.cumsum([0, *(p.n_rows for p in parts)])
     join = lambda x: np.concatenate(x) if parts else np.zeros(0)
-    return Sparse(int(starts[-1]), join([p.row + s for p, s in zip(parts, starts)]).astype(np.int64), join([p.feature for p in parts]).astype(np.int64), join([p.value for p in parts]))
+    return Sparse(int(starts[-1]), join([(p.row + s).astype(np.int32) for p, s in zip(parts, starts)]).astype(np.int32), join([p.feature for p in parts]).astype(np.int32), join([p.value for p in parts]))
 
 
 def held_out(key):
