@@ -77,7 +77,7 @@ def _score(model, at_least: int):
     return run
 
 
-def grade_documents(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", n_grades: int = 3, at_least: int = 1, select: float = 0.5, max_rows: int = 8_000) -> DataFrame:
+def grade_documents(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", n_grades: int = 3, at_least: int = 1, select: float = 0.5, max_rows: int = 5_000) -> DataFrame:
     """``<id>, held_out, expected_grade, tail_prob, kept`` for each row of ``docs``.
 
     ``ratings`` has grades 0 to n_grades - 1 by id. The model is fitted on at most ``max_rows`` rated documents

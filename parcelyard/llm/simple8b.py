@@ -170,7 +170,7 @@ class Tokenizer:
     Pieces are told apart by two 64-bit hashes and each new one is encoded once.
     """
 
-    def __init__(self, path: str, most: int = 3 << 20):
+    def __init__(self, path: str, most: int = 1 << 20):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
@@ -323,11 +323,12 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
                     yield flush()
         if keys:
             yield flush()
+        tokenizer(path).forget()  # the worker may be kept for other tasks
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 8 << 20, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_ids: int = 4 << 20, folder: str | None = None) -> DataFrame:
     """Write the ids of all texts in ascending order of id; a row for each shard: path, base (ids before it), n_ids, ...
 
     Null and empty texts have the end id only. Null ids come first; rows that repeat an id are all

@@ -242,7 +242,7 @@ def _scores(model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 8_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 5_000) -> DataFrame:
     """``<id>, held_out, score, predicted`` for each row of ``docs``.
 
     The model sees texts, and labels of at most ``max_rows`` rows outside of the held-out fold (crc32 of the id
@@ -256,7 +256,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     return scored.select(F.col("key").alias(id_col), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 8_000) -> Classifier:
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 5_000) -> Classifier:
     found = training_rows(docs, labels, [label_col], id_col=id_col, text_col=text_col, most=max_rows).toPandas().sort_values("key")
     return train(pa.array(found["text"], pa.large_string()), found[label_col].to_numpy(float))
 
