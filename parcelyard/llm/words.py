@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-_SECTION = 1 << 20  #: bytes that are hashed at once
+_SECTION = 1 << 18  #: bytes that are hashed at once
 _LONG = 1 << 16  #: longer words are hashed one by one
 
 
@@ -87,7 +87,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer row is a range of its own."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
