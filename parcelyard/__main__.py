@@ -15,7 +15,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("create", "extract", "list", "test"):
         c = sub.add_parser(name)
         c.add_argument("archive")
-        c.add_argument("paths", nargs="*" if name in ("create", "extract") else 0)
+        if name in ("create", "extract"):
+            c.add_argument("paths", nargs="*")
         c.add_argument("--password")
         c.add_argument("--threads", type=int, default=0)
         c.add_argument("--memory-mb", type=int, default=2048)

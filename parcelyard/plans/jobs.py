@@ -150,10 +150,13 @@ def collect(spark: SparkSession, r: Request) -> DataFrame:
             elif path.is_dir():
                 root = s.archive_path or path.name
                 folders = [f"{root}/"] + ([f"{root}/{p.relative_to(path).as_posix()}/" for p in sorted(path.rglob("*")) if p.is_dir()] if s.recursive else [])
-                names = spark.createDataFrame([(x,) for x in folders], "archive_path string")
-                rows = names.select(F.lit("archive").alias("archive"), "archive_path", F.lit(True).alias("is_directory"), F.lit(b"").cast("binary").alias("content"))
-                if any(p.is_file() for p in (path.rglob("*") if s.recursive else path.glob("*"))):
-                    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(s.recursive).lower()).load(str(path))
+                found = [p for p in (path.rglob("*") if s.recursive else path.glob("*")) if p.is_file() and not (r.output and p.resolve() == Path(r.output).resolve())]
+                # Spark's reader may pass over files without bytes, so those come from the walk
+                names = [(x, True) for x in folders] + [(f"{root}/{p.relative_to(path).as_posix()}", False) for p in found if not p.stat().st_size]
+                rows = spark.createDataFrame(names, "archive_path string, is_directory boolean")
+                rows = rows.select(F.lit("archive").alias("archive"), "archive_path", "is_directory", F.lit(b"").cast("binary").alias("content"))
+                if any(p.stat().st_size for p in found):
+                    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(s.recursive).lower()).load(str(path)).where("length > 0")
                     base = path.resolve().as_uri().replace("file:///", "file:/")
                     files = files.where(F.col("path") != Path(r.output).resolve().as_uri().replace("file:///", "file:/")) if r.output else files
                     relative = F.concat(F.lit(root), F.substring(F.replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.lit("file:///"), F.lit("file:/")), len(base) + 1, 1 << 20))
