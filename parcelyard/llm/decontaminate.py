@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import stored
-from .words import slices, words
+from .words import slices, thrifty, words
 
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("doc_word", T.LongType()), T.StructField("item_word", T.LongType()), T.StructField("n_words", T.LongType())])
 
@@ -171,6 +171,7 @@ def _joined(word: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarr
 def _stage(block, shard_bytes: int, at: dict[str, int]):
     """Adds the matches of one block to columns _n, _hits (array of start, end) and _found of the rows."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
         for batch in batches:
@@ -207,6 +208,7 @@ def _stage(block, shard_bytes: int, at: dict[str, int]):
 
 
 def _digest(at: dict[str, int]):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_hit, items, sha = [], [], []

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Stored, stored
-from .words import U64, gram_sets, mix, slices, words
+from .words import U64, gram_sets, mix, slices, thrifty, words
 
 SKETCH_BITS = 20
 _CHUNK = 1 << 14
@@ -42,6 +42,7 @@ _LANES = 64
 
 
 def _sketch_of(shingle: int):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
@@ -89,6 +90,7 @@ def _nodes_of(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signatures(shingle: int, num: int, den: int, ranks, id_type: pa.DataType):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = ranks.value
         for batch in batches:
@@ -123,6 +125,7 @@ def _signatures(shingle: int, num: int, den: int, ranks, id_type: pa.DataType):
 def _suffix_filter(num: int, den: int):
     """Keeps pairs whose sets can still overlap enough: by hash bins, their sizes differ by at most as much as the sets do."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -138,6 +141,7 @@ def _suffix_filter(num: int, den: int):
 def _packed(shingle: int):
     """node and compressed text of documents."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -151,6 +155,7 @@ def _packed(shingle: int):
 
 
 def _verify(shingle: int, num: int, den: int):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import new_path, open_shared, stored
-from .words import U64, raw, slices
+from .words import U64, raw, slices, thrifty
 
 #: (ids, bits) of each selector: fixed values of the coding
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -288,6 +288,7 @@ ROWS = T.StructType([T.StructField("path", T.StringType()), T.StructField("part"
 
 
 def _write(folder: str, path: str, end_id: int, shard_ids: int):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_shared(folder)
         context = TaskContext.get()
@@ -323,7 +324,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
                     yield flush()
         if keys:
             yield flush()
-        tokenizer(path).forget()  # the worker may be kept for other tasks
+        tokenizer.cache_clear()  # the worker may be kept for other tasks
 
     return run
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import N_FEATURES, Sparse, adam, features, held_out, sigmoid, stacked, training_rows
-from .words import U64, Words, gram_sets, raw, slices, words
+from .words import U64, Words, gram_sets, raw, slices, thrifty, words
 
 #: common insults in four languages, in lower case
 LEXICON = (
@@ -233,6 +233,7 @@ def train(texts: pa.Array, label: np.ndarray, *, steps: int = 120, rate: float =
 
 
 def _scores(model):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column(1)):
@@ -262,6 +263,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
 
 def _keep_below(model, threshold: float):
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column(1)):

@@ -7,7 +7,8 @@ different words meet with a chance of about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,24 @@ def _tables() -> list[np.ndarray]:
     return _powers
 
 
+def give_back() -> None:
+    """Return what is free in this process to the system: Python workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, with its memory given back after the last batch."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return within
+
+
 @dataclass
 class Words:
     """The words of some rows: of which row, from and to which byte of ``data``, and their hashes."""
