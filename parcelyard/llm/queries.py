@@ -85,4 +85,26 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pareto_mix, op2_warc, op3_ordinal_quality, op4_simple8b, op5_weak_toxicity, op6_suffix_decontamination, op7_snapshot_collapse, op8_path_templates, op9_line_cleaning, op10_jaccard_join)
 }
-SQL: dict[str, str] = {}
+#: op6 lists every window of document words and joins them with those of the items
+SQL: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     f AS (SELECT *, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS response FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > response THEN response END AS refers_to
+FROM f""",
+    "op6_suffix_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     spots AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0),
+     windows AS (SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS words FROM spots),
+     sizes AS (SELECT DISTINCT n FROM windows),
+     places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
+     found AS (SELECT doc_id, item, k, p.n AS n FROM (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS words FROM places) p JOIN windows USING (n, words)),
+     hits AS (SELECT doc_id, count(DISTINCT word_at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS word_at FROM found) GROUP BY doc_id),
+     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
