@@ -107,4 +107,16 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_snapshot_collapse": r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
+     whole AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns, max(turn) AS last_turn FROM t GROUP BY conv_id),
+     ends AS (SELECT DISTINCT t.conv_id, t.turn FROM t JOIN whole USING (conv_id) WHERE t.turn < last_turn),
+     prefixes AS (SELECT DISTINCT [x FOR x IN turns IF x.turn IS NULL OR x.turn <= ends.turn] AS turns FROM ends JOIN whole USING (conv_id)),
+     maximal AS (SELECT min(conv_id) AS conv_id, CAST(len(turns) AS BIGINT) AS n_turns FROM whole ANTI JOIN prefixes USING (turns) GROUP BY turns),
+     lines AS (SELECT conv_id, n_turns, CAST(floor(turn / 64) AS BIGINT) AS part, turn, role,
+                      '<|im_start|>' || replace(replace(coalesce(role, 'user'), '<|im_start|>', ''), chr(10), ' ') || chr(10)
+                      || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10) AS line
+               FROM t JOIN maximal USING (conv_id))
+SELECT conv_id, n_turns, part, count(*) AS n_rows, string_agg(line, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, line) AS rendered
+FROM lines GROUP BY conv_id, n_turns, part""",
 }
