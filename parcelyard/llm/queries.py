@@ -51,8 +51,9 @@ URL_RULES = [("allow", "com", ""), ("block", "example.com", "en/"), ("allow", "w
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gap in the archives is an error, since they have just been written."""
     pages = _table(spark, sf_dir, "pages")
-    read = warc.read_warc(warc.write_warc(pages, least=100), keep_payload=False).where("gap is null")
+    read = warc.read_warc(warc.write_warc(pages, least=100), keep_payload=False, strict=True)
     kind = pages.schema["page_id"].dataType
     return read.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 

@@ -30,7 +30,7 @@ PIECE = 1 << 20
 SPLIT = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD = 64 << 10  #: a record's headers are shorter
+_STEP = 64 << 10  #: the end of a plain record's headers is searched in steps of so many bytes
 
 
 @dataclass
@@ -73,7 +73,7 @@ def parse(body: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of one whole record, all checks made."""
     if not VERSION.match(body):
         raise Damaged("no version line")
-    end = body.find(b"\r\n\r\n", 0, _HEAD)
+    end = body.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("headers don't end")
     headers = {}
@@ -106,9 +106,9 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _member(source: Source, start: int, limit: int) -> tuple[bytes, int]:
+def _member(source: Source, start: int) -> tuple[bytes, int]:
     """Content and end of the gzip member at ``start``."""
-    inflate, out, at, total = zlib.decompressobj(31), [], start, 0
+    inflate, out, at = zlib.decompressobj(31), [], start
     while not inflate.eof:
         if at >= source.size:
             raise Damaged("member is cut short")
@@ -117,22 +117,22 @@ def _member(source: Source, start: int, limit: int) -> tuple[bytes, int]:
             out.append(inflate.decompress(piece))
         except zlib.error as e:
             raise Damaged(f"gzip: {e}") from None
-        total += len(out[-1])
         at += len(piece)
-        if total > limit:
-            raise Damaged("record is too long")
     return b"".join(out), at - len(inflate.unused_data)
 
 
-def _plain(source: Source, start: int, limit: int) -> tuple[bytes, int]:
-    head = source.get(start, min(_HEAD, source.size - start))
-    end = head.find(b"\r\n\r\n")
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", head[: end + 2]) if end >= 0 else None
+def _plain(source: Source, start: int) -> tuple[bytes, int]:
+    """Content and end of the plain record at ``start``."""
+    at = start
+    while (k := (piece := source.get(at, min(_STEP, source.size - at))).find(b"\r\n\r\n")) < 0:
+        if at + len(piece) >= source.size:
+            raise Damaged("headers don't end")
+        at += len(piece) - 3  # the blank line may lie across two pieces
+    end = at + k - start
+    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", source.get(start, end + 2))
     if not m:
-        raise Damaged("no headers")
+        raise Damaged("no content length")
     n = end + 4 + int(m[1]) + 4
-    if n > limit:
-        raise Damaged("record is too long")
     if start + n > source.size:
         raise Damaged("block is cut short")
     return source.get(start, n), start + n
@@ -165,11 +165,11 @@ def _search(source: Source, at: int, end: int) -> int:
     return end
 
 
-def salvage(file, size: int, start: int = 0, end: int | None = None, limit: int = 1 << 30) -> Iterator[Record | Gap]:
+def salvage(file, size: int, start: int = 0, end: int | None = None) -> Iterator[Record | Gap]:
     """Records that begin in [start, end) of a file, and the gaps between them.
 
     A range that starts inside a record skips to the next one without a report, since the range before
-    reads that record or reports it.
+    reads that record or reports it. Headers and blocks may have any length; one record at a time is in memory.
     """
     source, end = Source(file, size), size if end is None else min(end, size)
     at = start if start == 0 else _search(source, start, end)
@@ -178,7 +178,7 @@ def salvage(file, size: int, start: int = 0, end: int | None = None, limit: int
         try:
             if not _begins(source, at):
                 raise Damaged("no record begins here")
-            body, after = _member(source, at, limit) if source.get(at, 3) == MAGIC else _plain(source, at, limit)
+            body, after = _member(source, at) if source.get(at, 3) == MAGIC else _plain(source, at)
             headers, block = parse(body)
             yield Record(at, after, headers, block)
             at = after
@@ -261,7 +261,7 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     return stored(both.mapInArrow(_write(folder, file_bytes), FILES), "files")
 
 
-def _read(keep_payload: bool):
+def _read(keep_payload: bool, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, t) for n, t in zip(READ.names, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()))])
         for batch in batches:
@@ -271,10 +271,12 @@ def _read(keep_payload: bool):
                 with fs.open_input_file(name) as file:
                     for x in salvage(file, size, start, end):
                         if isinstance(x, Gap):
+                            if strict:
+                                raise ValueError(f"{path}: bytes {x.start} to {x.end} are no record: {x.reason}")
                             rows.append((path, x.start, x.end, x.reason, None, None, None, None, None, None, None))
                         else:
                             rows.append((path, x.start, x.end, None, *_fields(x), payload_of(x.headers, x.block) if keep_payload else None))
-                            held += len(x.block) if keep_payload else 0
+                            held += len(rows[-1][9] or "") + (len(x.block) if keep_payload else 0)
                         if len(rows) >= 2000 or held > 8 << 20:
                             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                             rows, held = [], 0
@@ -295,13 +297,13 @@ def _fields(x: Record) -> tuple:
     return inside(h.get("warc-record-id")), h.get("warc-type"), digest, size, inside(h.get("warc-refers-to")), h.get("warc-target-uri")
 
 
-def read_warc(files: DataFrame, *, split: int = SPLIT, keep_payload: bool = True) -> DataFrame:
+def read_warc(files: DataFrame, *, split: int = SPLIT, keep_payload: bool = True, strict: bool = False) -> DataFrame:
     """Records and gaps of files (path, bytes): a gap has its reason in ``gap`` and no record fields; rows of records have none.
 
-    Empty files give no rows. Every byte of a file is in a record or in a gap.
+    Empty files give no rows. Every byte of a file is in a record or in a gap. If ``strict``, the first gap is an error.
     """
     n = F.greatest(F.lit(1), F.ceil(F.col("bytes") / split)).cast("int")
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     ranges = ranges.select("path", "bytes", (F.col("k").cast("long") * split).alias("start"), F.least("bytes", (F.col("k").cast("long") + 1) * split).alias("end"))
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(parts).mapInArrow(_read(keep_payload), READ)
+    return ranges.repartition(parts).mapInArrow(_read(keep_payload, strict), READ)

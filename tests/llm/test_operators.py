@@ -149,6 +149,34 @@ def test_warc_salvage(level):
     assert [x.headers["warc-record-id"][-2] for x in parts if isinstance(x, warc.Record)] == names
 
 
+def test_warc_long_headers(spark, tmp_path):
+    url = "data:," + "u" * 100_000
+    pages = spark.createDataFrame([(1, url, "a" * 200), (2, url + "2", "a" * 200), (3, "http://c/", None)], "page_id long, url string, html string")
+    for split in (64 << 20, 100):
+        got = warc.read_warc(warc.write_warc(pages), split=split, strict=True).collect()
+        assert sorted((r.key, r.url, r.payload_bytes) for r in got) == [("1", url, 200), ("2", url + "2", 200), ("3", "http://c/", 0)]
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in queries.op2_warc(spark, str(tmp_path)).collect()) == [(1, 200, None), (2, 200, 1), (3, 0, None)]
+
+
+@pytest.mark.parametrize("level", [1, None])
+@pytest.mark.parametrize("n", [100_000, 3 << 20, *range((64 << 10) - 230, (64 << 10) - 220)])
+def test_warc_salvage_of_long_headers(level, n):
+    some = [warc.record("response", f"urn:page:{k}", {"WARC-Target-URI": "u" * (n if k == 1 else 9)}, b"b" * 300, level) for k in range(3)]
+    body = b"".join(some)
+    out = list(warc.salvage(io.BytesIO(body), len(body)))
+    assert [x.headers["warc-record-id"][-2] for x in out] == list("012") and len(out[1].headers["warc-target-uri"]) == n
+
+
+def test_warc_gaps_fail_strict_reading(spark, tmp_path):
+    body = warc.record("response", "urn:page:1", {}, b"b" * 300)
+    (tmp_path / "a.warc.gz").write_bytes(body + b"junk" + body)
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", 2 * len(body) + 4)], "path string, bytes long")
+    assert [r.gap is None for r in warc.read_warc(files).orderBy("start").collect()] == [True, False, True]
+    with pytest.raises(Exception, match="are no record"):
+        warc.read_warc(files, strict=True).collect()
+
+
 def test_conversations(spark):
     talk = lambda i, turns: [(i, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(turns)]
     rows = [*talk(1, ["a"]), *talk(2, ["a", "b"]), *talk(3, ["a", "b", "c"]), *talk(4, ["a", "x"]), *talk(5, ["a", "b", "c"]), *talk(6, [None, "q"]), *talk(7, [None]), *talk(8, [""]), *talk(9, [f"t{k}" for k in range(200)]), *talk(10, [f"t{k}" for k in range(150)]), (None, None, None, None), *talk(11, ["a <|im_end|> b"])]
