@@ -9,6 +9,9 @@ The tree of a host is grown level by level over distinct (host, path) with their
 3. A template's purity is its share of good labels, smoothed by that of its parent, which is smoothed by its own, up
    to the host and to all hosts. Templates with a purity under ``least`` are rejected.
 
+The tree is grown to the last segment of every path. A path leaves the rounds when it ends, or when it is alone in its
+branch, as the rest of its template then follows from the path itself.
+
 Every step is a DataFrame aggregate over keys (host, node, ...) with a map-side combine, and a join back to the
 distinct paths; a host with a third of all URLs is never gathered in one task.
 """
@@ -54,27 +57,29 @@ def _kind(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, end)).otherwise(segment)
 
 
-def template_verdicts(urls: DataFrame, *, levels: int = 6, many: int = 20, variable: float = 0.5, z: float = 2.0, strength: float = 8.0, least: float = 0.5) -> DataFrame:
+def template_verdicts(urls: DataFrame, *, many: int = 20, variable: float = 0.5, z: float = 2.0, strength: float = 8.0, least: float = 0.5) -> DataFrame:
     """``host, path, template, purity, allowed`` for each distinct (host, path) of ``urls`` (host, path, good: 1, 0 or null).
 
-    Paths are told apart down to ``levels`` segments; what lies deeper is one. Without any labels all purities
-    are 1. ``strength`` is how many labels a parent's purity counts as.
+    Paths are told apart by all their segments. Without any labels all purities are 1. ``strength`` is how many
+    labels a parent's purity counts as.
     """
     good, bad = F.sum(F.when(F.col("good") == 1, 1).otherwise(0)), F.sum(F.when(F.col("good") == 0, 1).otherwise(0))
     leaves = urls.groupBy("host", "path").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
-    leaves = leaves.withColumn("segments", F.split(F.col("path"), "/", levels + 2)).withColumn("node", F.lit(""))
+    leaves = leaves.withColumn("segments", F.split(F.col("path"), "/", -1)).withColumn("node", F.lit(""))
     leaves = stored(leaves, "leaves")
     every = leaves.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     total = float(every.g + 1) / float(every.g + every.b + 1)  # one row
-    deepest = leaves.agg(F.coalesce(F.max(F.size("segments")), F.lit(0))).first()[0]
     host = leaves.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     host = host.select(F.col("host").alias("h"), ((F.col("g") + strength * total) / (F.col("g") + F.col("b") + strength)).alias("purity"))
-    leaves = leaves.join(host, F.col("host") == F.col("h")).drop("h")
-    for k in range(2, min(deepest, levels + 2) + 1):
-        segment = F.when(F.size("segments") >= k, _kind(F.get("segments", F.lit(k - 1))))
-        now = stored(leaves.withColumn("segment", segment), "level")
-        inner = now.where("segment is not null")
-        child = inner.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    leaves = stored(leaves.join(host, F.col("host") == F.col("h")).drop("h"), "leaves")
+    columns = ["host", "path", F.col("node").alias("template"), "purity"]
+    done = [leaves.where(F.size("segments") < 2).select(*columns)]
+    leaves = leaves.where(F.size("segments") >= 2)
+    k = 2
+    while leaves.limit(1).count():
+        now = stored(leaves.withColumn("segment", _kind(F.get("segments", F.lit(k - 1)))), "level")
+        more = F.size("segments") > k
+        child = now.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum(more.cast("int")).alias("paths"))
         child = stored(child, "children")
         about = child.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
         wild = (F.col("kinds") > many) & (F.col("kinds") > variable * F.col("all")) & ~F.col("segment").startswith("{")
@@ -85,15 +90,26 @@ def template_verdicts(urls: DataFrame, *, levels: int = 6, many: int = 20, varia
         # Only branches with labels can be found alike; wildcards of a kind have their own place
         name = F.when(wild, "*").when(alike & (F.col("kinds") > 1) & ~F.col("segment").startswith("{"), "~").otherwise(F.col("segment"))
         named = child.join(about.select(F.col("host").alias("h"), F.col("node").alias("p"), "kinds", "all", "g", "b"), (F.col("host") == F.col("h")) & (F.col("node") == F.col("p"))).withColumn("name", name)
-        named = stored(named.select("host", "node", "segment", "name", "good", "bad"), "named")
-        counts = named.groupBy(F.col("host").alias("h2"), F.col("node").alias("p2"), F.col("name").alias("c2")).agg(F.sum("good").alias("g2"), F.sum("bad").alias("b2"))
+        named = stored(named.select("host", "node", "segment", "name", "good", "bad", "paths"), "named")
+        counts = named.groupBy(F.col("host").alias("h2"), F.col("node").alias("p2"), F.col("name").alias("c2")).agg(F.sum("good").alias("g2"), F.sum("bad").alias("b2"), F.sum("paths").alias("paths"))
         names = named.select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("segment").alias("s"), "name")
-        names = names.join(counts, (F.col("h") == F.col("h2")) & (F.col("p") == F.col("p2")) & (F.col("name") == F.col("c2"))).select("h", "p", "s", "name", "g2", "b2")
-        leaves = now.join(names, (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")) & (F.col("segment") == F.col("s")), "left")
-        deeper = F.col("name").isNotNull()
-        leaves = leaves.withColumn("node", F.when(deeper, F.concat("node", F.lit("/"), "name")).otherwise(F.col("node"))).withColumn("purity", F.when(deeper, (F.col("g2") + strength * F.col("purity")) / (F.col("g2") + F.col("b2") + strength)).otherwise(F.col("purity")))
+        names = names.join(counts, (F.col("h") == F.col("h2")) & (F.col("p") == F.col("p2")) & (F.col("name") == F.col("c2"))).select("h", "p", "s", "name", "g2", "b2", "paths")
+        leaves = now.join(names, (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")) & (F.col("segment") == F.col("s")))
+        leaves = leaves.withColumn("node", F.concat("node", F.lit("/"), "name")).withColumn("purity", (F.col("g2") + strength * F.col("purity")) / (F.col("g2") + F.col("b2") + strength))
         leaves = stored(leaves.drop("h", "p", "s", "name", "g2", "b2", "segment"), "leaves")
-    return leaves.select("host", "path", F.col("node").alias("template"), "purity", (F.col("purity") >= least).alias("allowed"))
+        # The only path with further segments in its branch keeps each of them (a single child is neither "~" nor, with many >= 1, "*")
+        alone = (F.col("paths") == 1) & F.lit(many >= 1)
+        rest = F.slice("segments", k + 1, F.greatest(F.size("segments") - k, F.lit(0)))
+        template = F.concat("node", F.lit("/"), F.array_join(F.transform(rest, _kind), "/"))
+        purity = F.aggregate(rest, F.col("purity"), lambda p, _: (F.col("good") + strength * p) / (F.col("good") + F.col("bad") + strength))
+        done.append(leaves.where(~more).select(*columns))
+        done.append(leaves.where(more & alone).select("host", "path", template.alias("template"), purity.alias("purity")))
+        leaves = leaves.where(more & ~alone).drop("paths")
+        k += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("allowed", F.col("purity") >= least)
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], good: Column | None = None, *, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:

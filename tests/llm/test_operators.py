@@ -206,6 +206,21 @@ def test_urls(spark):
     assert urls.judge_urls(table.limit(0), queries.URL_RULES, F.col("good")).count() == 0
 
 
+def test_deep_urls(spark):
+    deep = lambda k, end: f"http://h.org/1/2/3/4/5/6/{end}/{k}"
+    rows = [(k, deep(k, "bad"), 0) for k in range(40)] + [(100 + k, deep(k, "good"), 1) for k in range(40)]
+    rows += [(200 + k, f"http://i.org/a/b/c/d/e/f/g/h/i/{'bad' if k % 2 else 'good'}/j/{k}/x.html", k % 2 ^ 1) for k in range(80)]
+    rows += [(300, "http://i.org/a/b/c/d/e/f/g/h/i/bad/j/400/x.html", None), (301, "http://i.org/a/b/c/d/e/f/g/h/i/good/j/k/l/m/1/2024-01-01/", None)]
+    rows += [(302, "http://k.org" + "/s" * 300, 1), (303, "http://m.org/t/7/8", 0), (304, "http://j.org/t", 1), (305, "http://j.org/", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, good int")
+    got = {r.page_id: r for r in urls.judge_urls(table, [], F.col("good")).collect()}
+    assert len(got) == len(rows)
+    assert all(r.verdict == ("allow" if good else "block") for k, _, good in rows[:160] for r in [got[k]])
+    assert got[0].template == "/{n}/{n}/{n}/{n}/{n}/{n}/bad/{n}" and got[300].verdict == "block" and got[301].verdict == "allow"
+    assert got[300].template == "/a/b/c/d/e/f/g/h/i/bad/j/{n}/x.html" and got[301].template == "/a/b/c/d/e/f/g/h/i/good/j/k/l/m/{n}/{date}/"
+    assert got[302].template == "/s" * 300 and got[303].template == "/t/{n}/{n}" and got[302].purity > 0.99
+
+
 def test_classifiers_on_odd_rows(spark):
     rows = ODD + [(50 + k, f"you are an idiot and a moron number {k}, pathetic scum.") for k in range(40)] + [(100 + k, f"a fine day in town number {k} with friends and tea.") for k in range(80)]
     labels = spark.createDataFrame([(i, 1, int(50 <= (i or 0) < 90)) for i, _ in rows if i and i >= 50] + [(None, 1, 1), (60, None, None)], "doc_id long, quality int, toxic int")
