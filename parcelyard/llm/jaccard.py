@@ -269,6 +269,25 @@ class _Join:
         both = few.join(mixed.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & self.near("x", "y"))
         self.test(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
+    def every(self) -> None:
+        """All pairs of entries in a bucket, whatever their components."""
+        both = self.entries.alias("x").join(self.entries.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & self.near("x", "y"))
+        self.test(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+
+def near_duplicate_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``set_a, set_b, id_a, id_b`` for each link between two different sets: their keys and the smallest id of each.
+
+    These are all links, those inside a component included, so a bucket of m sets makes up to m * (m - 1) / 2
+    pairs. Documents with equal sets are one set; words and n-grams are those of ``near_duplicate_classes``.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    join = _Join(source, shingle, num, den)
+    join.every()
+    side = lambda c: join.nodes.select(F.col("node").alias(c), F.col("id").alias(f"id_{c}"))
+    edges = join.nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if join.edges is None else join.edges
+    return edges.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "id_a", "id_b")
+
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``<id>, n_shingles, component_id`` for each document: its set's size, and the smallest id it can reach by links.
@@ -277,6 +296,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     text of fewer words than ``shingle`` is one n-gram; null and white space have none, link with nothing
     and are their own component. Repeated ids give a row each. A null id stays null and does not name a
     component unless all ids in it are null. Other columns are ignored, an empty table gives no rows.
+    Links inside a component are verified only as far as they join it; ``near_duplicate_links`` has all.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     join = _Join(source, shingle, num, den)

@@ -68,6 +68,20 @@ def test_jaccard_join(spark):
     assert jaccard.near_duplicate_classes(docs(spark, [])).count() == 0
 
 
+def test_jaccard_links(spark):
+    rows = [*ODD, *((100 + k, near(120, k % 7)) for k in range(30)), *((200 + k, near(40 + k)) for k in range(20)), (300, near(120).upper())]
+    sets = {}
+    for i, text in rows:
+        w = WORD.findall((text or "").lower())
+        if w:
+            x = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            sets[x] = min(i if i is not None else 999, sets.get(x, 999))
+    want = {(min(i, j), max(i, j)) for x, i in sets.items() for y, j in sets.items() if i != j and 100 * len(x & y) >= 80 * len(x | y)}
+    got = [(min(r.id_a, r.id_b), max(r.id_a, r.id_b)) for r in jaccard.near_duplicate_links(docs(spark, rows).repartition(5)).collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+    assert jaccard.near_duplicate_links(docs(spark, [])).count() == 0
+
+
 def test_line_counts(spark):
     def by_hand(x):
         w = WORD.findall(x or "")
