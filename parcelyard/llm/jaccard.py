@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
+"""N-gram Jaccard join: rare-first prefix filtering with length and positional filters, and a histogram filter in place of the suffix filter.
 
 Two documents link when ``den * |A & B| >= num * |A | B|`` for their sets of distinct word n-grams. If
 all n-grams are put into one order, a linked pair shares one within the first ``n - ceil(n * num / den)
@@ -122,8 +122,8 @@ def _signatures(shingle: int, num: int, den: int, ranks, id_type: pa.DataType):
     return run
 
 
-def _suffix_filter(num: int, den: int):
-    """Keeps pairs whose sets can still overlap enough: by hash bins, their sizes differ by at most as much as the sets do."""
+def _histogram_filter(num: int, den: int):
+    """Keeps pairs whose sets can still overlap enough: by hash bins, their sizes differ by at most as much as the sets do. Bins clipped at 255 only let more through."""
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ class _Join:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"bins{c}"))
         wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "binsa", "binsb")
-        pairs = stored(wide.mapInArrow(_suffix_filter(self.num, self.den), "a long, b long"), "pairs")
+        pairs = stored(wide.mapInArrow(_histogram_filter(self.num, self.den), "a long, b long"), "pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         for have in self.texts:
             wanted = wanted.join(have, "node", "left_anti")
