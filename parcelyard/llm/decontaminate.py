@@ -147,7 +147,7 @@ def matches_of(block: Block, w, low_row: int, high_row: int) -> tuple[np.ndarray
 
 
 def _joined(word: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarray, n: np.ndarray, first: np.ndarray) -> dict[int, list[tuple]]:
-    """Longest match of each row and item: windows that follow each other in both texts become one."""
+    """All maximal matches of each row: windows that follow each other in both texts become one."""
     out: dict[int, list[tuple]] = {}
     if not len(word):
         return out
@@ -159,10 +159,7 @@ def _joined(word: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarr
     tails = np.append(heads[1:], len(word)) - 1
     size = word[tails] - word[heads] + n[tails]
     best = np.lexsort((place[heads], word[heads], -size, item[heads], row[heads]))
-    r, i = row[heads][best], item[heads][best]
-    keep = np.ones(len(best), bool)
-    keep[1:] = (r[1:] != r[:-1]) | (i[1:] != i[:-1])
-    for k in best[keep].tolist():
+    for k in best.tolist():
         h = heads[k]
         out.setdefault(int(row[h]), []).append((int(item[h]), int(word[h] - first[row[h]]), int(place[h]), int(size[k])))
     return out
@@ -234,8 +231,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | No
     Words are runs of letters and digits a-z, 0-9 (A-Z lower-cased) and of all characters beyond ASCII.
     ``n_hit`` counts words inside any place of a window of ``window`` item words (of an item with fewer, all
     of it); ``items_sha256`` is of the sorted ids of items that have such a place, joined by commas;
-    ``matches`` has for each of those the longest verbatim match and where it starts in both texts. Null and
-    empty texts have no words and no hits; items without words match nothing. A null item id is named "null".
+    ``matches`` has for each of those every maximal verbatim match and where it starts in both texts, an item's longest
+    first; one with p places in an item and q in a document is p * q matches. Null and empty texts have no words and no hits; items without words match nothing. A null item id is named "null".
     Rows and items may repeat; other columns don't matter. No documents give no rows, no items no hits.
     """
     spark: SparkSession = docs.sparkSession

@@ -68,6 +68,29 @@ def test_longest_matches_and_removal(spark):
     assert {r.doc_id for r in left.collect()} == {x[0] for x in by_hand(DOCS, ITEMS) if x[2] == 0}
 
 
+def maximal_by_hand(text, items, window=10):
+    out, w = [], words(text)
+    for name, item in items:
+        v = words(item)
+        for p in range(len(v)):
+            for q in range(len(w)):
+                n = 0
+                while p + n < len(v) and q + n < len(w) and v[p + n] == w[q + n]:
+                    n += 1
+                if n and n >= min(window, len(v)) and not (p and q and v[p - 1] == w[q - 1]):
+                    out.append(("null" if name is None else str(name), q, p, n))
+    return sorted(out)
+
+
+def test_all_maximal_matches(spark):
+    docs = [*DOCS, (9, " ".join([*seq(0, 40)[:15], "z", *seq(0, 40)[20:36], "z", *seq(0, 40)[:12]]))]
+    for options in ({}, {"block_bytes": 60, "shard_bytes": 50}):
+        *_, got = run(spark, docs, ITEMS, **options)
+        rows = [(r.doc_id, sorted(map(tuple, r.matches))) for r in got.collect()]
+        assert sorted(rows, key=str) == sorted(((i, maximal_by_hand(x, ITEMS)) for i, x in docs), key=str)
+    assert [m[1:] for m in maximal_by_hand(docs[-1][1], ITEMS) if m[0] == "1" and m[3] >= 12] == [(0, 0, 15), (16, 20, 16), (33, 0, 12)]
+
+
 def test_empty_tables(spark):
     assert run(spark, [], ITEMS)[0] == []
     assert all(x[2] == 0 for x in run(spark, DOCS, [])[0])
