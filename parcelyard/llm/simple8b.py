@@ -7,7 +7,7 @@ stands in the words, and place and value follow the block's words.
 A shard file is ::
 
     "S8TOKEN1" | words of all blocks | escapes: (index, value) u64 pairs | directory | footer
-    directory: offset of each block's first word u64 | ids of each document u32 | key of each document (UTF-8 lines)
+    directory: offset of each block's first word u64 | ids of each document u32 | keys of the documents (a JSON array)
     footer: n_ids, n_blocks, n_words, n_escapes, n_documents, key_bytes u64 | crc32 of all before u32 | "S8END..."
 
 Blocks start at every ``BLOCK``-th id of the shard, so block k and the ids of any document are found from
@@ -21,6 +21,7 @@ once, are part of the file set. So a task that is run again leaves at most an un
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -119,9 +120,9 @@ def decode(packed: np.ndarray, n_ids: int, escapes: np.ndarray) -> np.ndarray:
     return out
 
 
-def shard_bytes(ids: np.ndarray, lengths: np.ndarray, keys: list[str]) -> bytes:
+def shard_bytes(ids: np.ndarray, lengths: np.ndarray, keys: list[str | None]) -> bytes:
     packed, starts, escapes = encode(ids)
-    names = "\n".join(keys).encode()
+    names = json.dumps(keys, ensure_ascii=False, separators=(",", ":")).encode()
     footer = np.array([len(ids), len(starts) - 1, len(packed), len(escapes), len(lengths), len(names)], "<u8")
     body = b"".join([MAGIC, packed.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(), starts[:-1].astype("<u8").tobytes(), lengths.astype("<u4").tobytes(), names, footer.tobytes()])
     return body + zlib.crc32(body).to_bytes(4, "little") + END
@@ -146,7 +147,7 @@ class Shard:
         at += 8 * blocks
         self.lengths = take(n_docs, "<u4").astype(np.int64)
         at += 4 * n_docs
-        self.keys = body[at : at + key_bytes].decode().split("\n") if n_docs else []
+        self.keys = json.loads(body[at : at + key_bytes])
         self.firsts = np.concatenate([[0], np.cumsum(self.lengths)])
 
     def ids(self, low: int, high: int) -> np.ndarray:
@@ -167,7 +168,8 @@ class Tokenizer:
 
     Its pattern never joins a character with a space or newline that follows, so a text is cut before each
     of these that comes after something else than white space; the ids of the pieces make up the ids of the text.
-    Pieces are told apart by two 64-bit hashes and each new one is encoded once.
+    Pieces are told apart by two 64-bit hashes with different seeds and each new one is encoded once. Where the
+    first hashes of different pieces meet, the batch goes to the library as it is.
     """
 
     def __init__(self, path: str, most: int = 1 << 20):
@@ -185,6 +187,7 @@ class Tokenizer:
 
     def forget(self) -> None:
         self.key = np.zeros(0, U64)
+        self.check = np.zeros(0, U64)
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -208,12 +211,18 @@ class Tokenizer:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
         start, end = self.pieces(data, offsets)
-        key = hashes(data, start, end)
+        key, check = hashes(data, start, end), hashes(data, start, end, 1)
         distinct, example, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if (check[example][inverse] != check).any():
+            return self.plain(column)
+        check = check[example]
         spot = np.searchsorted(self.key, distinct)
         have = np.zeros(len(distinct), bool)
         if len(self.key):
-            have = self.key[np.minimum(spot, len(self.key) - 1)] == distinct
+            there = np.minimum(spot, len(self.key) - 1)
+            have = self.key[there] == distinct
+            if (have & (self.check[there] != check)).any():
+                return self.plain(column)
         if not have.all():
             if len(self.key) + np.count_nonzero(~have) > self.most:
                 self.forget()
@@ -224,6 +233,7 @@ class Tokenizer:
             self.at = np.insert(self.at, spot, len(self.ids) + at)
             self.n = np.insert(self.n, spot, n)
             self.key = np.insert(self.key, spot, distinct[new])
+            self.check = np.insert(self.check, spot, check[new])
             self.ids = np.concatenate([self.ids, ids])
             spot = np.searchsorted(self.key, distinct)
         at, n = self.at[spot][inverse], self.n[spot][inverse]
@@ -233,6 +243,11 @@ class Tokenizer:
         row = np.searchsorted(offsets, start, side="right") - 1
         return out, np.bincount(row, weights=n, minlength=len(column)).astype(np.int64)
 
+    def plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, without the store."""
+        got = [x.ids for x in self.library.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
     def fresh(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of pieces by the library, where each piece's begin, and how many it has.
 
@@ -296,7 +311,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
         shard = n = 0
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        keys: list[str] = []
+        keys: list[str | None] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal shard, n
@@ -318,7 +333,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
                 ends = np.cumsum(counts)
                 ids.append(np.insert(got, ends, np.uint32(end_id)))
                 lengths.append(counts + 1)
-                keys += ["" if x is None else str(x) for x in key.slice(low, high - low).to_pylist()]
+                keys += key.slice(low, high - low).to_pylist()
                 n += len(ids[-1])
                 if n >= shard_ids:
                     yield flush()
@@ -333,16 +348,20 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     """Write the ids of all texts in ascending order of id; a row for each shard: path, base (ids before it), n_ids, ...
 
     Null and empty texts have the end id only. Null ids come first; rows that repeat an id are all
-    written, in the order of their texts. The number of shards follows the size of the data; their order
+    written, in the order of a hash of their texts, and an id that many rows have is shared among tasks. Ids of any
+    type come back, empty strings and line ends included; other columns don't matter; an empty table makes no shards.
+    A text may be longer than a shard. The number of shards follows the size of the data; their order
     and first ids are computed over the table of shards, which is the only table that is put in order in one task.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     fs, root = open_shared(folder)
     fs.create_dir(root, recursive=True)
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    # Rows that repeat an id are told apart by their texts, and equal ones by the input's partition
+    rows = docs.select(F.col(id_col).alias("key"), F.xxhash64(text).alias("tie"), F.spark_partition_id().alias("from"), text.alias("text"))
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    dealt = rows.repartitionByRange(parts, "key", "tie", "from").sortWithinPartitions("key", "tie", "from").select(F.col("key").cast("string").alias("key"), "text")
     shards = stored(dealt.mapInArrow(_write(folder, tokenizer_path, end_id, shard_ids), ROWS), "shards")
     order = W.orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)
     return stored(shards.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))), "shards")
@@ -361,12 +380,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids = shard.ids(a, b).astype("<u4")
                 cuts = (shard.firsts[low : high + 1] - a).tolist()
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
-                yield pa.record_batch([pa.array([x or None for x in shard.keys[low:high]], pa.string()), pa.array(shard.firsts[low:high] + base, pa.int64()), pa.array(shard.lengths[low:high], pa.int64()), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(shard.keys[low:high], pa.string()), pa.array(shard.firsts[low:high] + base, pa.int64()), pa.array(shard.lengths[low:high], pa.int64()), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
                 low = high
 
 
 def read_tokens(shards: DataFrame, id_type: T.DataType, *, id_col: str = "doc_id") -> DataFrame:
-    """``<id>, start, n_tokens, ids_crc32`` of each document, from the shard files."""
+    """``<id>, start, n_tokens, ids_crc32`` of each document, from the shard files; a row for each row that was written."""
     parts = max(1, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     read = shards.select("path", "base").repartition(parts).mapInArrow(_read, "key string, start long, n_tokens long, ids_crc32 long")
     return read.select(F.col("key").cast(id_type).alias(id_col), "start", "n_tokens", "ids_crc32")

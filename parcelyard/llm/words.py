@@ -1,8 +1,11 @@
 """Words of Arrow string columns as NumPy arrays: boundaries and 64-bit hashes, no Python loop over words.
 
-All functions work on the UTF-8 bytes. The hash of a word is a polynomial over a random table of its
-bytes modulo 2**64, mixed at the end, so that equal words have equal hashes in every process. Two
-different words meet with a chance of about 2**-64.
+All functions work on the UTF-8 bytes. A word is hashed in blocks of 8 bytes: each block is added to the
+state, which goes through a 64-bit mixing function before the next one; words of more than ``_LONG``
+bytes are hashed by xxh3. Equal words have equal hashes in every process. No block can undo another as in
+polynomials modulo 2**64, so words of a common structure meet no more often than random ones: two given
+words about once in 2**64. Texts written to collide are not defended against here; where a meeting
+would change what is written, as in token files, bytes are compared by a second hash with another seed.
 """
 
 from __future__ import annotations
@@ -17,8 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-_SECTION = 1 << 18  #: bytes that are hashed at once
-_LONG = 1 << 16  #: longer words are hashed one by one
+_LONG = 1 << 10  #: longer words are hashed one by one
 
 
 def _mask(separators) -> np.ndarray:
@@ -43,19 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _tables() -> list[np.ndarray]:
-    if not _powers:
-        for base in (_BASE, _INVERSE):
-            x = np.full(_SECTION + _LONG + 1, base, U64)
-            x[0] = 1
-            _powers.append(np.cumprod(x, dtype=U64))
-    return _powers
+_ODD = U64(0x9E3779B97F4A7C15)
 
 
 def give_back() -> None:
@@ -117,30 +107,24 @@ def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each span of ``data``; spans are in ascending order and don't overlap."""
-    powers, inverses = _tables()
-    out = np.zeros(len(start), U64)
-    long = end - start > _LONG
-    for k in np.flatnonzero(long):
-        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
-    short = np.flatnonzero(~long)
-    low = 0
-    while low < len(short):
-        at = int(start[short[low]])
-        high = max(low + 1, int(np.searchsorted(start[short], at + _SECTION)))
-        part = short[low:high]
-        text = data[at : int(end[part[-1]])]
-        if len(text) > len(powers):  # a long word lies between
-            high = low + 1 + int(np.argmax(end[part] - at > len(powers) - 1)) if len(part) > 1 else high
-            high = max(high - 1, low + 1)
-            part = short[low:high]
-            text = data[at : int(end[part[-1]])]
-        sums = np.zeros(len(text) + 1, U64)
-        np.cumsum(_TABLE[text] * powers[: len(text)], dtype=U64, out=sums[1:])
-        s, e = start[part] - at, end[part] - at
-        out[part] = mix((sums[e] - sums[s]) * inverses[s] + (e - s).astype(U64))
-        low = high
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of each span of ``data``."""
+    length = end - start
+    out = mix((length.astype(U64) + U64(seed << 32 | 1)) * _ODD)
+    long = length > _LONG
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), seed)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    open_ = np.flatnonzero(~long & (length > 0))
+    at = 0
+    while len(open_):
+        left = length[open_] - at
+        block = blocks[start[open_] + at]
+        last = left < 8
+        block[last] &= (U64(1) << (left[last].astype(U64) * U64(8))) - U64(1)
+        out[open_] = mix(out[open_] * _ODD + block)
+        open_, at = open_[left > 8], at + 8
     return out
 
 
