@@ -2,15 +2,15 @@
 
 Each task takes its documents in shards of bounded size, builds the suffix array of a shard's words and
 searches every suffix of the benchmark in it by bisection, word by word: the range after ``window`` words
-holds all places of that window, and the deepest range that is not empty the longest match. Places that
-follow each other join to longest verbatim matches with their locations.
+holds all places of that window, and the deepest range that is not empty the longest verbatim matches and their
+locations. Work and memory follow the lengths of the texts, not the number of pairs of equal places.
 
 Only words of the benchmark can be part of a match, so suffixes that start elsewhere, or in a run of such
 words shorter than the shortest window, are left out of the arrays; this loses nothing.
 
 The benchmark is dealt in blocks of at most ``block_bytes`` of text, by size and not by number of items;
-one block is broadcast at a time, and every block meets all documents. There is no shuffle and no task
-holds more than one shard, so that hot passages only make some tasks write longer lists.
+one block is broadcast at a time, and every block meets all documents. No task holds more than one shard of
+documents (one text, if it is longer), so that hot passages only make some tasks write longer lists.
 """
 
 from __future__ import annotations
@@ -100,160 +100,257 @@ def block_of(names: list[str], texts: list[str | None], window: int) -> Block:
     return Block(names, vocabulary, *(np.array(x, np.int64) for x in (text, item, place, need)))
 
 
-def matches_of(block: Block, w, low_row: int, high_row: int) -> tuple[np.ndarray, ...]:
-    """Places of windows in some rows of ``w``: word index in w, item, place in the item, words of the window."""
-    first = w.first
-    a, b = int(first[low_row]), int(first[high_row])
-    none = tuple(np.zeros(0, np.int64) for _ in range(4))
-    if not len(block.text) or a == b:
-        return none
-    at = np.minimum(np.searchsorted(block.vocabulary, w.hash[a:b]), len(block.vocabulary) - 1)
-    known = block.vocabulary[at] == w.hash[a:b]
-    breaks = np.ones(b - a + 1, bool)
-    breaks[1:-1] = ~(known[1:] & known[:-1] & (w.row[a + 1 : b] == w.row[a : b - 1]))
+@dataclass
+class Found:
+    """What one block has in some rows: covered spans of words, items, and the longest match at each place, of the rows with any."""
+
+    spans: dict[int, list[tuple[int, int]]]
+    items: dict[int, list[str]]
+    matches: dict[int, list[tuple[str, int, int, int]]]
+
+
+def _places(order: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ranges of a suffix array, and of which range each is."""
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    return order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], of
+
+
+def _maximal(matches: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """Of matches (item, place in the document, place in the item, words) those that don't lie in another; of equal spans the first."""
+    out, reach = [], 0
+    for m in sorted(matches, key=lambda m: (m[1], -m[3], m[0], m[2])):
+        if m[1] + m[3] > reach:
+            out.append(m)
+            reach = m[1] + m[3]
+    return out
+
+
+def search(block: Block, w) -> Found:
+    """Binary search of every suffix of the block in the suffix array of the words ``w`` of some rows.
+
+    The suffixes of equal windows share one range of the array, so places are listed once for each distinct window
+    and not for each pair of places. Suffixes go on until their ranges are empty; a place that leaves a range that
+    no suffix keeps whole has its longest match there.
+    """
+    out = Found({}, {}, {})
+    total = len(w.hash)
+    if not len(block.text) or not total:
+        return out
+    at = np.minimum(np.searchsorted(block.vocabulary, w.hash), len(block.vocabulary) - 1)
+    known = block.vocabulary[at] == w.hash
+    breaks = np.ones(total + 1, bool)
+    breaks[1:-1] = ~(known[1:] & known[:-1] & (w.row[1:] == w.row[:-1]))
     edges = np.flatnonzero(breaks)
     lengths = np.diff(edges)
     good = (lengths >= block.shortest) & known[edges[:-1]]
     if not good.any():
-        return none
+        return out
     starts, lengths = edges[:-1][good], lengths[good]
     where = np.repeat(starts - np.concatenate([[0], np.cumsum(lengths[:-1] + 1)]), lengths + 1) + np.arange(int((lengths + 1).sum()))
     ends = np.cumsum(lengths + 1) - 1
-    text = at[np.minimum(where, b - a - 1)] + 1
+    text = at[np.minimum(where, total - 1)] + 1
     text[ends] = 0
     order = suffix_array(text, block.longest)
-    alive = np.flatnonzero(block.text > 0)
+    alive = np.flatnonzero(block.need > 0)
     low, high = np.zeros(len(alive), np.int64), np.full(len(alive), len(order), np.int64)
-    found = []
+    windows, ended = [], []
+    first_name = {x: k for k, x in reversed(list(enumerate(block.names)))}
+    turn = np.argsort(np.lexsort((block.place, np.array([first_name[x] for x in block.names], np.int64)[block.item])))  # by name and place
     depth = 0
     while len(alive):
-        want = np.where(alive + depth < len(block.text), block.text[np.minimum(alive + depth, len(block.text) - 1)], 0)
-        ok = want > 0
-        alive, low, high, want = alive[ok], low[ok], high[ok], want[ok]
-        low, high = _bisect(text, order, depth, want, low, high, False), _bisect(text, order, depth, want, low, high, True)
+        want = block.text[np.minimum(alive + depth, len(block.text) - 1)]  # 0 ends each item
+        next_low, next_high = _bisect(text, order, depth, want, low, high, False), _bisect(text, order, depth, want, low, high, True)
+        on = (want > 0) & (next_low < next_high)
+        some = np.flatnonzero(block.need[alive] <= depth)
+        if len(some):  # suffixes with the same range: places that none of them follows further have their longest match
+            some = some[np.lexsort((turn[alive[some]], low[some]))]
+            head = np.flatnonzero(np.diff(low[some], prepend=-1))
+            goes_on = np.logical_or.reduceat((on & (next_high - next_low == high - low))[some], head)
+            some = some[head[~goes_on]]
+            ended.append((low[some], high[some], np.full(len(some), depth), alive[some]))
+        alive, low, high = alive[on], next_low[on], next_high[on]
         depth += 1
-        ok = low < high
-        alive, low, high = alive[ok], low[ok], high[ok]
         whole = block.need[alive] == depth
         if whole.any():
-            n = (high - low)[whole]
-            places = np.repeat(low[whole] - np.concatenate([[0], np.cumsum(n[:-1])]), n) + np.arange(int(n.sum()))
-            source = np.repeat(alive[whole], n)
-            found.append((a + where[order[places]], block.item[source], block.place[source], np.full(len(source), depth)))
-        # Windows are taken at their own depth; longer matches are windows that follow each other.
-        more = block.need[alive] > depth
-        alive, low, high = alive[more], low[more], high[more]
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else none
-
-
-def _joined(word: np.ndarray, row: np.ndarray, item: np.ndarray, place: np.ndarray, n: np.ndarray, first: np.ndarray) -> dict[int, list[tuple]]:
-    """All maximal matches of each row: windows that follow each other in both texts become one."""
-    out: dict[int, list[tuple]] = {}
-    if not len(word):
+            windows.append((low[whole], high[whole], np.full(int(whole.sum()), depth), alive[whole]))
+    if not windows:
         return out
-    order = np.lexsort((word, word - place, item, row))
-    word, row, item, place, n = word[order], row[order], item[order], place[order], n[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (word[1:] - place[1:] != word[:-1] - place[:-1]) | (word[1:] != word[:-1] + 1)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(word)) - 1
-    size = word[tails] - word[heads] + n[tails]
-    best = np.lexsort((place[heads], word[heads], -size, item[heads], row[heads]))
-    for k in best.tolist():
-        h = heads[k]
-        out.setdefault(int(row[h]), []).append((int(item[h]), int(word[h] - first[row[h]]), int(place[h]), int(size[k])))
+    first = w.first
+
+    # Words covered by windows, and which windows a row has
+    low, high, depths, source = (np.concatenate(x) for x in zip(*windows))
+    _, one, same = np.unique(depths * (len(order) + 1) + low, return_index=True, return_inverse=True)  # distinct windows
+    place, of = _places(order, low[one], high[one])
+    cover = np.zeros(len(text) + 1, np.int64)
+    np.add.at(cover, place, 1)
+    np.add.at(cover, place + depths[one][of], -1)
+    covered = np.cumsum(cover[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]])))
+    for a, b in zip(where[edge[::2]].tolist(), where[edge[1::2] - 1].tolist()):
+        row = int(w.row[a])
+        out.spans.setdefault(row, []).append((a - int(first[row]), b + 1 - int(first[row])))
+    pairs = np.unique(np.stack([same, block.item[source]], axis=1), axis=0)  # window, item
+    bound = np.searchsorted(pairs[:, 0], np.arange(len(one) + 1))
+    held = np.unique(w.row[where[place]] * len(one) + of)
+    rows, held = held // len(one), held % len(one)
+    cuts = np.flatnonzero(np.diff(rows, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
+        mine = np.unique(np.concatenate([pairs[bound[k] : bound[k + 1], 1] for k in held[a:b].tolist()]))
+        out.items[int(rows[a])] = sorted({block.names[k] for k in mine.tolist()})
+
+    # The longest match that begins at each place: ranges are nested, and deeper ones are put over the others
+    low, high, depths, source = (np.concatenate(x) for x in zip(*ended))
+    longest, origin = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    for a, b, n, s in zip(low.tolist(), high.tolist(), depths.tolist(), source.tolist()):  # in the order of depths
+        longest[a:b], origin[a:b] = n, s
+    by_place = np.zeros((2, len(order)), np.int64)
+    by_place[:, order] = longest, origin
+    longest, origin = by_place
+    before = np.concatenate([[0], longest[:-1]])
+    for p in np.flatnonzero(longest > np.maximum(before - 1, 0)).tolist():
+        word, s = int(where[p]), int(origin[p])
+        row = int(w.row[word])
+        out.matches.setdefault(row, []).append((block.names[int(block.item[s])], word - int(first[row]), int(block.place[s]), int(longest[p])))
     return out
 
 
-def _stage(block, shard_bytes: int, at: dict[str, int]):
-    """Adds the matches of one block to columns _n, _hits (array of start, end) and _found of the rows."""
+def _digest(n_words: np.ndarray, spans: list, items: list, matches: list) -> list[pa.Array]:
+    """The result columns of some rows."""
+    n_hit, names = [], [sorted(set(x)) for x in items]
+    for some in spans:
+        end = total = 0
+        for low, high in sorted(some):
+            total += max(0, high - max(low, end))
+            end = max(end, high)
+        n_hit.append(total)
+    listed = [[dict(zip(MATCH.names, m)) for m in _maximal(x)] for x in matches]
+    sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+    return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(sha, pa.string()), pa.array(listed, _MATCHES)]
+
+
+RESULT = ["n_words", "n_hit", "n_items", "items_sha256", "matches"]
+_MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
+_SPANS = "array<struct<low:bigint,high:bigint>>"
+_PART = f"digest string, spans {_SPANS}, items array<string>, matches {T.ArrayType(MATCH).simpleString()}"
+
+
+def _whole(block, shard_bytes: int):
+    """kept and the result columns of all rows, for a benchmark of one block."""
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Block = block.value
         for batch in batches:
-            for low, high in slices(batch.column(at["_text"]), shard_bytes):
-                part = batch.slice(low, high - low)
-                w = words(part.column(at["_text"]), "alnum")
-                first = w.first
-                word, item, place, n = matches_of(b, w, 0, len(part))
-                row = w.row[word] if len(word) else word
-                best = _joined(word, row, item, place, n, first)
-                hits: list[list] = [list(x) for x in part.column(at["_hits"]).to_pylist()]
-                found: list[list] = [list(x) for x in part.column(at["_found"]).to_pylist()]
-                order = np.lexsort((word, row))
-                spans = {}
-                if len(word):
-                    r, s, e = row[order], word[order], (word + n)[order]
-                    reach = np.maximum.accumulate(e)  # rows come in the order of their words, so a row's reach ends before the next row
-                    new = np.ones(len(r), bool)
-                    new[1:] = (r[1:] != r[:-1]) | (s[1:] > reach[:-1])
-                    heads = np.flatnonzero(new)
-                    for x, y, z in zip(r[heads].tolist(), s[heads].tolist(), reach[np.append(heads[1:], len(r)) - 1].tolist()):
-                        spans.setdefault(x, []).append({"low": y - int(first[x]), "high": z - int(first[x])})
-                for x, y in spans.items():
-                    hits[x] += y
-                for x, y in best.items():
-                    found[x] += [dict(zip(("item_id", "doc_word", "item_word", "n_words"), (b.names[m[0]], *m[1:]))) for m in y]
-                columns = list(part.columns)
-                columns[at["_n"]] = pa.array(np.diff(first), pa.int64())
-                columns[at["_hits"]] = pa.array(hits, part.column(at["_hits"]).type)
-                columns[at["_found"]] = pa.array(found, part.column(at["_found"]).type)
-                yield pa.record_batch(columns, part.schema.names)
+            for low, high in slices(batch.column(1), shard_bytes):
+                w = words(batch.column(1).slice(low, high - low), "alnum")
+                found = search(block.value, w)
+                rows = range(high - low)
+                yield pa.record_batch([batch.column(0).slice(low, high - low), *_digest(np.diff(w.first), *([of.get(k, []) for k in rows] for of in (found.spans, found.items, found.matches)))], ["kept", *RESULT])
 
     return run
 
 
-def _digest(at: dict[str, int]):
+def _part(block, shard_bytes: int):
+    """What one of several blocks has in the rows with any hit, by the digest of their text."""
+
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_hit, items, sha = [], [], []
-            for hits, found in zip(batch.column(at["_hits"]).to_pylist(), batch.column(at["_found"]).to_pylist()):
-                end = total = 0
-                for low, high in sorted((x["low"], x["high"]) for x in hits):
-                    total += max(0, high - max(low, end))
-                    end = max(end, high)
-                names = sorted({x["item_id"] for x in found})
-                n_hit.append(total)
-                items.append(len(names))
-                sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            columns = [batch.column(k) for name, k in at.items() if name not in ("_text", "_hits", "_n", "_found")]
-            names = [name for name in at if name not in ("_text", "_hits", "_n", "_found")]
-            yield pa.record_batch([*columns, batch.column(at["_n"]), pa.array(n_hit, pa.int64()), pa.array(items, pa.int64()), pa.array(sha), batch.column(at["_found"])], [*names, "n_words", "n_hit", "n_items", "items_sha256", "matches"])
+            for low, high in slices(batch.column(1), shard_bytes):
+                found = search(block.value, words(batch.column(1).slice(low, high - low), "alnum"))
+                rows = sorted(found.spans)
+                if rows:
+                    digest = batch.column(0).slice(low, high - low).take(pa.array(rows))
+                    spans = [[{"low": a, "high": b} for a, b in found.spans[k]] for k in rows]
+                    matches = [[dict(zip(MATCH.names, m)) for m in found.matches.get(k, [])] for k in rows]
+                    yield pa.record_batch([digest, pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array([found.items[k] for k in rows], pa.list_(pa.string())), pa.array(matches, _MATCHES)], ["digest", "spans", "items", "matches"])
 
     return run
 
 
+@thrifty
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kept and the result columns of all rows, from the parts of all blocks."""
+    for batch in batches:
+        for low, high in slices(batch.column(1)):
+            part = batch.slice(low, high - low)
+            blocks = [x or [] for x in part.column(2).to_pylist()]
+            spans = [[(y["low"], y["high"]) for x in some for y in x["spans"]] for some in blocks]
+            matches = [[tuple(y.values()) for x in some for y in x["matches"]] for some in blocks]
+            items = [[y for x in some for y in x["items"]] for some in blocks]
+            yield pa.record_batch([part.column(0), *_digest(np.diff(words(part.column(1), "alnum", hashed=False).first), spans, items, matches)], ["kept", *RESULT])
+
+
+def dealt(items: DataFrame, block_bytes: int) -> tuple[DataFrame, list[list[int]]]:
+    """``items`` with a column ``deal``, and the deals of each block: at most ``block_bytes`` of text, or one deal.
+
+    Items are dealt by hash into about eight times as many deals as there must be blocks, and only the sizes of
+    deals reach the driver. Equal rows have been removed, so a deal grows with its items only; one item is never cut.
+    """
+    items = items.distinct()
+    size = F.octet_length("text").cast("long") + F.octet_length("name")
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = 8 * -(-int(total) // block_bytes) if total > block_bytes else 1
+    items = items.withColumn("deal", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
+    blocks, room = [[]], block_bytes
+    for row in sorted(items.groupBy("deal").agg(F.sum(size).alias("size")).collect(), key=lambda r: r.deal):
+        if blocks[-1] and row["size"] > room:
+            blocks.append([])
+            room = block_bytes
+        blocks[-1].append(row.deal)
+        room -= row["size"]
+    return items, blocks
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` (the id, unless given), n_words, n_hit, n_items, items_sha256, matches for each row of ``docs``.
 
     Words are runs of letters and digits a-z, 0-9 (A-Z lower-cased) and of all characters beyond ASCII.
     ``n_hit`` counts words inside any place of a window of ``window`` item words (of an item with fewer, all
-    of it); ``items_sha256`` is of the sorted ids of items that have such a place, joined by commas;
-    ``matches`` has for each of those every maximal verbatim match and where it starts in both texts, an item's longest
-    first; one with p places in an item and q in a document is p * q matches. Null and empty texts have no words and no hits; items without words match nothing. A null item id is named "null".
+    of it); ``items_sha256`` is of the sorted ids of items that have such a place, joined by commas.
+    ``matches`` has the longest verbatim match that begins at each place of the document, unless it lies in a longer
+    one: where it begins in the document and in an item (of several with a match as long, that with the
+    smallest id, and there the first place), and its words. So it grows with the document, not with the
+    number of places that an item's passage has.
+
+    Null and empty texts have no words and no hits; items without words match nothing. A null item id is named "null".
     Rows and items may repeat; other columns don't matter. No documents give no rows, no items no hits.
+    A benchmark of one block is one pass over the documents. Of more blocks each is a pass that writes only what
+    it found, by the digest of the text, and one join puts it to the documents.
     """
     spark: SparkSession = docs.sparkSession
     keep = [id_col] if keep is None else keep
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.length("name")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(size) // block_bytes))
-    wide = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast("array<struct<low:bigint,high:bigint>>").alias("_hits"), F.array().cast(T.ArrayType(MATCH)).alias("_found"))
-    at = {name: k for k, name in enumerate(wide.columns)}
-    for k in range(n_blocks):
-        of_block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k)
-        rows = of_block.orderBy("name", "text").collect()  # one block, of bounded size
-        block = spark.sparkContext.broadcast(block_of([r.name for r in rows], [r.text for r in rows], window))
-        wide = wide.mapInArrow(_stage(block, shard_bytes, at), wide.schema)
-        if n_blocks > 1:
-            wide = stored(wide, "blocks")
-    schema = T.StructType([*[wide.schema[c] for c in keep], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("matches", T.ArrayType(MATCH))])
-    return wide.mapInArrow(_digest(at), schema)
+    items, blocks = dealt(items, block_bytes)
+    wide = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([wide.schema["kept"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("matches", T.ArrayType(MATCH))])
+
+    def sent(deals: list[int]):
+        """One block, of bounded size."""
+        rows = (items.where(F.col("deal").isin(deals)) if len(blocks) > 1 else items).orderBy("name", "text").collect()
+        return spark.sparkContext.broadcast(block_of([r.name for r in rows], [r.text for r in rows], window))
+
+    if len(blocks) == 1:
+        return wide.mapInArrow(_whole(sent(blocks[0]), shard_bytes), schema).select("kept.*", *RESULT)
+    wide = wide.withColumn("digest", F.sha2("text", 256))
+    parts: DataFrame | None = None
+    for k, deals in enumerate(blocks):
+        block = sent(deals)
+        part = stored(wide.select("digest", "text").mapInArrow(_part(block, shard_bytes), _PART), "part").withColumn("block", F.lit(k))
+        block.unpersist()
+        parts = part if parts is None else parts.unionByName(part)
+    # Equal texts have equal parts, so of each block one is kept, and a text has at most one for each block
+    one = parts.groupBy("digest", "block").agg(F.first(F.struct("spans", "items", "matches")).alias("part"))
+    every = stored(one.groupBy(F.col("digest").alias("of")).agg(F.collect_list("part").alias("parts")), "parts")
+    both = wide.join(every, F.col("digest") == F.col("of"), "left").select("kept", "text", "parts")
+    return both.mapInArrow(_merged, schema).select("kept.*", *RESULT)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with all their columns."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_whole"))
-    return contamination(rows, benchmark, keep=["_row"], text_col="_whole", **options).where("n_hit = 0").select("_row.*")
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns.
+
+    Null and empty texts stay, rows that repeat share their fate, columns may have any names, and empty tables
+    are as in :func:`contamination`.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("whole"))
+    return contamination(rows, benchmark, keep=["row"], text_col="whole", **options).where("n_hit = 0").select("row.*")

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from parcelyard.llm.decontaminate import contamination, decontaminated
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -68,27 +70,64 @@ def test_longest_matches_and_removal(spark):
     assert {r.doc_id for r in left.collect()} == {x[0] for x in by_hand(DOCS, ITEMS) if x[2] == 0}
 
 
-def maximal_by_hand(text, items, window=10):
-    out, w = [], words(text)
-    for name, item in items:
-        v = words(item)
-        for p in range(len(v)):
-            for q in range(len(w)):
+def longest_by_hand(text, items, window=10):
+    """At each place the longest match of at least a window, if it doesn't lie in one that begins before it."""
+    out, reach, w = [], 0, words(text)
+    for q in range(len(w)):
+        best = None
+        for name, item in items:
+            v = words(item)
+            for p in range(len(v)):
                 n = 0
                 while p + n < len(v) and q + n < len(w) and v[p + n] == w[q + n]:
                     n += 1
-                if n and n >= min(window, len(v)) and not (p and q and v[p - 1] == w[q - 1]):
-                    out.append(("null" if name is None else str(name), q, p, n))
-    return sorted(out)
-
-
-def test_all_maximal_matches(spark):
-    docs = [*DOCS, (9, " ".join([*seq(0, 40)[:15], "z", *seq(0, 40)[20:36], "z", *seq(0, 40)[:12]]))]
-    for options in ({}, {"block_bytes": 60, "shard_bytes": 50}):
-        *_, got = run(spark, docs, ITEMS, **options)
-        rows = [(r.doc_id, sorted(map(tuple, r.matches))) for r in got.collect()]
-        assert sorted(rows, key=str) == sorted(((i, maximal_by_hand(x, ITEMS)) for i, x in docs), key=str)
-    assert [m[1:] for m in maximal_by_hand(docs[-1][1], ITEMS) if m[0] == "1" and m[3] >= 12] == [(0, 0, 15), (16, 20, 16), (33, 0, 12)]
+                if n >= window or n == len(v):
+                    best = min(best or (0,), (-n, "null" if name is None else str(name), p))
+        if best and q - best[0] > reach:
+            out.append((best[1], q, best[2], -best[0]))
+            reach = q - best[0]
+    return out
+
+
+def test_longest_matches_at_all_places(spark):
+    docs = [*DOCS, (9, " ".join([*seq(0, 40)[:15], "z", *seq(0, 40)[20:36], "z", *seq(0, 40)[:12]])), (13, "e " * 70 + "f " + "e " * 12), (14, " ".join(seq(5, 30)))]
+    items = [*ITEMS, (20, "e " * 40), (21, "e " * 25 + "f"), (3, " ".join(seq(0, 40)))]
+    for options in ({}, {"block_bytes": 60, "shard_bytes": 50}, {"block_bytes": 300}):
+        *_, got = run(spark, docs, items, **options)
+        rows = [(r.doc_id, sorted(map(tuple, r.matches), key=lambda m: m[1])) for r in got.collect()]
+        assert sorted(rows, key=str) == sorted(((i, longest_by_hand(x, items)) for i, x in docs), key=str)
+    got, *_ = run(spark, docs, items)
+    assert got == by_hand(docs, items)
+
+
+def test_repetitive_texts_make_no_pairs():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from parcelyard.llm import decontaminate
+    from parcelyard.llm.words import words as words_of
+
+    block = decontaminate.block_of(["a"], ["e " * 2000], 10)
+    w = words_of(pa.array(["f " + "e " * 40_000, "e " * 9, "g " + "e " * 12 + "g"], pa.large_string()), "alnum")
+    tracemalloc.start()
+    found = decontaminate.search(block, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert found.spans == {0: [(1, 40_001)], 2: [(1, 13)]} and found.items == {0: ["a"], 2: ["a"]}
+    ends = [m[1] + m[3] for m in found.matches[0]]
+    assert found.matches[0][0] == ("a", 1, 0, 2000) and max(ends) == 40_001 and found.matches[2] == [("a", 1, 0, 12)]
+
+
+def test_blocks_are_dealt_by_size(spark):
+    from parcelyard.llm import decontaminate
+
+    items = spark.createDataFrame([(str(k % 50), "word " * (k % 50)) for k in range(400)], "name string, text string")
+    dealt, blocks = decontaminate.dealt(items, 1000)
+    sizes = {r.deal: r.n for r in dealt.groupBy("deal").agg(F.sum(F.octet_length("text") + F.octet_length("name")).alias("n")).collect()}
+    assert dealt.count() == 50 and sorted(d for b in blocks for d in b) == sorted(sizes)
+    assert all(sum(sizes[d] for d in b) <= 1000 or len(b) == 1 for b in blocks) and len(blocks) > 5
 
 
 def test_empty_tables(spark):
