@@ -16,7 +16,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +31,7 @@ PIECE = 1 << 20
 SPLIT = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_STEP = 64 << 10  #: the end of a plain record's headers is searched in steps of so many bytes
+_STEP = 64 << 10  #: members are inflated, and the end of a plain record's headers is searched, in steps of so many bytes
 
 
 @dataclass
@@ -54,19 +55,24 @@ class Damaged(Exception):
 
 @dataclass
 class Source:
-    """Bytes of a file by position, read in pieces."""
+    """Bytes of a file by position, read in pieces; what is held is read on from, so that each byte is read about once."""
 
     file: object
     size: int
     held: bytes = b""
     at: int = 0
-    cut: int = field(default=PIECE)
 
     def get(self, start: int, n: int) -> bytes:
-        if not (self.at <= start and start + n <= self.at + len(self.held)):
-            self.file.seek(start)
-            self.held, self.at = self.file.read(min(max(n, self.cut), self.size - start)), start
-        return self.held[start - self.at : start - self.at + n]
+        """The n bytes from ``start`` on, or fewer at the end of the file."""
+        end = min(start + n, self.size)
+        if not self.at <= start <= self.at + len(self.held):
+            self.held, self.at = b"", start
+        reached = self.at + len(self.held)
+        if end > reached:
+            self.file.seek(reached)
+            more = self.file.read(min(max(end - reached, PIECE), self.size - reached))
+            self.held, self.at = self.held[start - self.at :] + more, start
+        return self.held[start - self.at : end - self.at]
 
 
 def parse(body: bytes) -> tuple[dict[str, str], bytes]:
@@ -112,7 +118,7 @@ def _member(source: Source, start: int) -> tuple[bytes, int]:
     while not inflate.eof:
         if at >= source.size:
             raise Damaged("member is cut short")
-        piece = source.get(at, min(PIECE, source.size - at))
+        piece = source.get(at, _STEP)
         try:
             out.append(inflate.decompress(piece))
         except zlib.error as e:
@@ -124,7 +130,7 @@ def _member(source: Source, start: int) -> tuple[bytes, int]:
 def _plain(source: Source, start: int) -> tuple[bytes, int]:
     """Content and end of the plain record at ``start``."""
     at = start
-    while (k := (piece := source.get(at, min(_STEP, source.size - at))).find(b"\r\n\r\n")) < 0:
+    while (k := (piece := source.get(at, _STEP)).find(b"\r\n\r\n")) < 0:
         if at + len(piece) >= source.size:
             raise Damaged("headers don't end")
         at += len(piece) - 3  # the blank line may lie across two pieces
@@ -139,23 +145,29 @@ def _plain(source: Source, start: int) -> tuple[bytes, int]:
 
 
 def _begins(source: Source, at: int) -> bool:
-    """Whether a record can begin here: a version line, or a gzip member whose content begins with one."""
-    head = source.get(at, min(4096, source.size - at))
+    """Whether a record can begin here: a version line, or a gzip member, with a header of any length, whose content begins with one."""
+    head = source.get(at, 4096)
     if VERSION.match(head):
         return True
     if not head.startswith(MAGIC):
         return False
+    inflate, out = zlib.decompressobj(31), b""
     try:
-        return bool(VERSION.match(zlib.decompressobj(31).decompress(head, 16)))
+        while len(out) < 10 and head and not inflate.eof:
+            out += inflate.decompress(head, 16 - len(out))
+            if len(out) < 10:
+                at += len(head)
+                head = source.get(at, _STEP)
     except zlib.error:
         return False
+    return bool(VERSION.match(out))
 
 
 def _search(source: Source, at: int, end: int) -> int:
     """The next position before ``end`` where a record can begin, or ``end``."""
     mark = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
     while at < end:
-        piece = source.get(at, min(PIECE, source.size - at))
+        piece = source.get(at, PIECE)
         for m in mark.finditer(piece):
             if at + m.start() >= end:
                 return end
@@ -223,12 +235,13 @@ def _write(folder: str, most: int):
                 payload = (html or "").encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 target = "".join(c for c in url or "" if c.isprintable())
+                name_of = lambda x: "urn:page-without-id" if x is None else f"urn:page:{quote(x, safe='')}"
                 headers = {"Content-Type": "application/http; msgtype=response", "WARC-Target-URI": target, "WARC-Payload-Digest": f"sha256:{digest}"}
                 if first is None:
-                    body = record("response", f"urn:page:{key}", headers, http + payload)
+                    body = record("response", name_of(key), headers, http + payload)
                 else:
-                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{first}>"}
-                    body = record("revisit", f"urn:page:{key}", headers, http)
+                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{name_of(first)}>"}
+                    body = record("revisit", name_of(key), headers, http)
                 out.write(body)
                 n, size = n + 1, size + len(body)
                 if size >= most:
@@ -245,16 +258,20 @@ def write_warc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
     Of rows with equal payloads (UTF-8 of the html, null is empty) of at least ``least`` bytes the one with
     the smallest id is the response, and all others revisit it; shorter payloads are all responses. Among rows
-    that repeat that smallest id, each is a response. Rows with a null id are responses.
+    that repeat that smallest id, each is a response. Rows with a null id are responses. Ids may be of any type and
+    hold any characters, urls and texts may be null or of any length; characters of a url that can't be printed are left
+    out of its record. Other columns don't matter; no rows make no files.
+
+    Who revisits whom is found out with ids and digests only. The pages are then joined with the revisits: without
+    moving the pages while these fit the session's broadcast limit, beyond it with one shuffle of all pages.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     ids = stored(rows.where(F.octet_length("html") >= least).select("key", "digest"), "digests")
     first = stored(ids.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "repeated")
-    # Only ids and digests are moved to find out who revisits whom, and of the pages only those that do
     revisits = ids.join(first, "digest").where("key <> first").select(F.col("key").alias("k"), F.col("digest").alias("d"), "first").distinct()
-    both = rows.join(stored(revisits, "revisits"), (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")), "left").select("key", "url", "html", "digest", "first")
+    both = rows.join(stored(revisits, "revisits"), (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")), "left").select(F.col("key").cast("string").alias("key"), "url", "html", "digest", F.col("first").cast("string").alias("first"))
     folder = folder or new_path(pages.sparkSession, "warc")
     fs, root = open_shared(folder)
     fs.create_dir(root, recursive=True)
@@ -287,19 +304,27 @@ def _read(keep_payload: bool, strict: bool):
 
 
 def _fields(x: Record) -> tuple:
-    inside = lambda v: v.strip("<>").rpartition(":")[2] if v else None
     h = x.headers
     digest = h.get("warc-payload-digest", "").partition(":")[2] or hashlib.sha256(payload_of(h, x.block)).hexdigest()
     size = len(payload_of(h, x.block))
     if h.get("warc-type") == "revisit":  # the payload is not here; the HTTP headers say how long it is
         m = re.search(rb"(?i)content-length:\s*(\d+)", x.block)
         size = int(m[1]) if m else None
-    return inside(h.get("warc-record-id")), h.get("warc-type"), digest, size, inside(h.get("warc-refers-to")), h.get("warc-target-uri")
+    return _key(h.get("warc-record-id")), h.get("warc-type"), digest, size, _key(h.get("warc-refers-to")), h.get("warc-target-uri")
+
+
+def _key(name: str | None) -> str | None:
+    """The id of a page from the name of a record; null for a page without one. Names that others gave stay as they are."""
+    name = (name or "").strip("<>")
+    if not name or name == "urn:page-without-id":
+        return None
+    return unquote(name[len("urn:page:") :]) if name.startswith("urn:page:") else name
 
 
 def read_warc(files: DataFrame, *, split: int = SPLIT, keep_payload: bool = True, strict: bool = False) -> DataFrame:
     """Records and gaps of files (path, bytes): a gap has its reason in ``gap`` and no record fields; rows of records have none.
 
+    ``key`` and ``refers_to`` are the ids that :func:`write_warc` was given, as text, or the names of records of other writers.
     Empty files give no rows. Every byte of a file is in a record or in a gap. If ``strict``, the first gap is an error.
     """
     n = F.greatest(F.lit(1), F.ceil(F.col("bytes") / split)).cast("int")
