@@ -318,8 +318,10 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their near-duplicate class, with all their columns.
 
-    Rows that repeat an id are all kept if that id is; rows with a null id are kept.
+    Rows that repeat an id are all kept if that id is; rows with a null id, and rows without words, are kept.
+    Columns may have any names; an empty table gives no rows.
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, num=num, den=den)
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("of"))
+    return rows.join(gone, F.col("of") == F.col("gone"), "left_anti").select("row.*")

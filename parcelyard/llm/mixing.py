@@ -128,9 +128,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return wide.select(F.col("key").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") + F.col("drawn").cast("long")).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix` takes it. Rows that agree in id and source count as one text's."""
-    taken = mix(docs, id_col=id_col, source_col=source_col, **options)
-    taken = taken.groupBy(F.col(id_col).alias("_id"), F.col(source_col).alias("_source")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    both = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as :func:`mix` takes it.
+
+    Null ids, texts and sources are as in :func:`mix`. Rows that agree in id, source and number of words share their fate;
+    if their weights differ, that of the one taken most often. Columns may have any names; an empty table gives no rows.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = taken.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size", "copies").groupBy("id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("of"), F.col(source_col).alias("from"), word_count(F.col(text_col)).alias("words"))
+    both = rows.join(taken, F.col("of").eqNullSafe(F.col("id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -264,3 +264,31 @@ def test_held_out_accuracy(spark):
 def test_thresholds_are_ordered_and_tails_fall():
     model = quality.fit(quality.Sparse(3, np.array([0, 1, 2], np.int32), np.array([5, 6, 7], np.int32), np.ones(3, np.float32)), np.array([0, 1, 2]), 3, steps=20)
     assert (np.diff(model.thresholds) > 0).all()
+
+
+def test_token_files_keep_any_id(spark):
+    rows = [("", "a"), (None, None), (None, "b c"), ("two\nlines", "d"), ('"q"', ""), ("z", "e"), ("z", "e"), ("\\", "f")] + [("hot", f"text {k}") for k in range(60)] + [("hot", "same")] * 60
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id string, text string, tie string, key int").repartition(6)
+    tk = simple8b.tokenizer(queries.tokenizer_path()).library
+    shards = simple8b.write_tokens(table, queries.tokenizer_path(), shard_ids=40)
+    got = simple8b.read_tokens(shards, table.schema["doc_id"].dataType).orderBy("start").collect()
+    crc = lambda t: zlib.crc32(np.array([*tk.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=str) == sorted(((i, crc(t)) for i, t in rows), key=str)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or ""))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
+def test_stages_keep_clashing_columns(spark):
+    from parcelyard.llm import decontaminate, mixing
+
+    names = "_id _source _copies _copy _gone _row _whole row id of from size words gone kept digest whole text2 deal key copies parts".split()
+    rows = [(k, f"some words of text number {k} " * 3, "ab"[k % 2], *[k] * len(names)) for k in range(12)] + [(None, None, None, *[99] * len(names))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([(1, "number 5")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for out in (mixing.mixed_documents(table), jaccard.keep_one_of_each(table), decontaminate.decontaminated(table, items), decontaminate.decontaminated(table, items.union(items.selectExpr("9L", "'number 6'")), block_bytes=9), toxicity.without_toxic(table, labels)):
+        assert out.columns == table.columns
+        assert all(r == rows[r.doc_id if r.doc_id is not None else -1] for r in out.collect())
+        assert out.count() and jaccard.keep_one_of_each(out.limit(0)).count() == 0
+    assert {r.doc_id for r in decontaminate.decontaminated(table, items).collect()} == {None, *range(12)} - {5}
