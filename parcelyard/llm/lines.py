@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +16,29 @@ from .words import KINDS, U64, mix, raw, slices, words
 SYMBOLS = b"#*$%&|<>"
 #: what lines of running text end with, before closing quotes or brackets
 TERMINAL = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
+#: the end of a sentence within a line
+SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\s|[。！？]")
 #: words that stand between the parts of menus and trails
 SEPARATORS = frozenset("|»›>•·")
-#: phrases of page furniture, in lower case
+#: phrases of page furniture in four languages, in lower case
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "accept cookies", "javascript is", "javascript must be",
     "lorem ipsum", "click here", "subscribe to our", "sign up for our", "share on facebook", "share on twitter", "skip to content", "skip to main content", "back to top", "powered by",
+    "tous droits réservés", "mentions légales", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "cliquez ici", "inscrivez-vous à", "partager sur", "aller au contenu", "haut de page",
+    "alle rechte vorbehalten", "impressum", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken", "klicken sie hier", "newsletter abonnieren", "teilen auf", "zum inhalt springen", "nach oben",
+    "todos los derechos reservados", "aviso legal", "términos de uso", "política de privacidad", "aceptar cookies", "haga clic aquí", "suscríbete a", "compartir en", "saltar al contenido", "volver arriba",
 )
 CODE = re.compile(r"[{}]|</?\w+[^>]*>")
 _SIGNS = re.compile(r"[#*$%&|<>»›•·{}]")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
 
-def line_fails(line: str, *, max_symbol_share: float = 0.1, max_shout_share: float = 0.6, max_repeat_share: float = 0.5, min_unended_words: int = 3) -> str | None:
-    """The name of the rule by which a line goes, or None if it stays. Lines without words stay."""
+def line_fails(line: str, *, max_symbol_share: float = 0.1, max_shout_share: float = 0.6, max_repeat_share: float = 0.5, min_unended_words: int = 12) -> str | None:
+    """The name of the rule by which a line goes, or None if it stays. Lines without words stay.
+
+    A line must end like running text. One that doesn't stays only if it has at least ``min_unended_words`` words and
+    a sentence ends within it, as in text that was cut off or wrapped. Time and memory follow the line's length.
+    """
     found = line.split()
     n = len(found)
     if not n:
@@ -45,11 +55,11 @@ def line_fails(line: str, *, max_symbol_share: float = 0.1, max_shout_share: flo
     if any(x in lower for x in BOILERPLATE):
         return "boilerplate"
     if n >= 4:
-        if len(distinct := set(found)) <= n * (1 - max_repeat_share) + 1 and max(map(found.count, distinct)) > max_repeat_share * n:
+        if max(Counter(found).values()) > max_repeat_share * n:
             return "repeats"
         if sum(map(str.isupper, found)) > max_shout_share * n or "!!" in line and sum(w.endswith("!!") for w in found) > max_shout_share * n:
             return "shouting"
-    if n < min_unended_words and not TERMINAL.search(line.rstrip()):
+    if not TERMINAL.search(line.rstrip()) and (n < min_unended_words or not SENTENCE.search(line)):
         return "punctuation"
     return None
 
