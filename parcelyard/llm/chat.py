@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 64
+from .shared import stored
+
+BLOCK = 64  #: turn numbers of a part
+MOST = 4096  #: rows of a part
 _KEY = ("h1", "h2", "n")
 
 
@@ -69,22 +72,37 @@ def maximal_conversations(table: DataFrame, *, conv_col: str = "conv_id", turn_c
 
 
 def render(table: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", opening: str = "<|im_start|>", closing: str = "<|im_end|>", default_role: str = "user") -> DataFrame:
-    """``<conv>, n_turns, part, n_rows, rendered`` of the maximal conversations.
+    """``<conv>, n_turns, part, piece, n_rows, rendered`` of the maximal conversations.
 
     Each turn becomes ``opening role newline text closing newline``, in order of turn, role and text. A part holds
-    the turns of ``BLOCK`` turn numbers, so that no row grows with a conversation; parts in order, joined
-    without anything between, are the conversation. Delimiters inside texts are broken up with a space, so that
-    a text can't open or close a turn. A null role becomes ``default_role``, a null text is empty. Turns
-    without a number come first, in a part with a null number.
+    the turns of ``BLOCK`` turn numbers, so that no row grows with a conversation. If more than ``MOST`` rows share
+    a part, as where turn numbers repeat or are null, each of its turn numbers is dealt into pieces of about ``MOST`` rows at
+    most, by the rows' places in the input. Parts, and their pieces, in order, joined without anything between, are
+    the conversation.
+
+    Delimiters inside texts and roles are broken up with a space, and line ends in roles become spaces, so that
+    neither can open or close a turn. A null role becomes ``default_role``, a null text is empty. Turns without a
+    number come first, in a part with a null number. Columns may have any names; an empty table gives no rows.
     """
     kept = maximal_conversations(table, conv_col=conv_col, turn_col=turn_col, role_col=role_col, text_col=text_col)
     turns = _turns(table, conv_col, turn_col, role_col, text_col)
-    clean = F.coalesce(F.col("text"), F.lit(""))
-    for mark in (opening, closing):
-        clean = F.replace(clean, F.lit(mark), F.lit(f"{mark[0]} {mark[1:]}"))
-    role = F.replace(F.replace(F.coalesce(F.col("role"), F.lit(default_role)), F.lit(opening), F.lit("")), F.lit("\n"), F.lit(" "))
-    line = F.concat(F.lit(opening), role, F.lit("\n"), clean, F.lit(closing + "\n"))
+
+    def safe(x: Column) -> Column:
+        for mark in (opening, closing):
+            x = F.replace(x, F.lit(mark), F.lit(f"{mark[0]} {mark[1:]}"))
+        return x
+
+    role = F.replace(safe(F.coalesce(F.col("role"), F.lit(default_role))), F.lit("\n"), F.lit(" "))
+    line = F.concat(F.lit(opening), role, F.lit("\n"), safe(F.coalesce(F.col("text"), F.lit(""))), F.lit(closing + "\n"))
     kept = kept.select(F.col(conv_col).alias("c"), "n_turns")
-    mine = turns.join(kept, F.col("conv").eqNullSafe(F.col("c"))).withColumn("line", line)
-    parts = mine.groupBy("conv", "n_turns", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "line"))).alias("lines"))
-    return parts.select(F.col("conv").alias(conv_col), "n_turns", F.col("block").alias("part"), F.size("lines").cast("long").alias("n_rows"), F.array_join(F.col("lines.line"), "").alias("rendered"))
+    mine = turns.join(kept, F.col("conv").eqNullSafe(F.col("c"))).withColumn("line", line).select("conv", "n_turns", "block", "turn", "role", "line")
+    per_turn = turns.groupBy("conv", "block", "turn").agg(F.count("*").alias("n"))
+    large = per_turn.groupBy(F.col("conv").alias("of"), F.col("block").alias("in")).agg(F.sum("n").alias("all")).where(F.col("all") > MOST)
+    large = stored(per_turn.join(large, F.col("conv").eqNullSafe(F.col("of")) & F.col("block").eqNullSafe(F.col("in"))).select(F.col("conv").alias("of"), F.col("turn").alias("at"), "n"), "large")
+    piece = F.lit(0).cast("long")
+    if large.limit(1).count():  # only then are the turns joined with these
+        mine = mine.withColumn("place", F.monotonically_increasing_id()).join(large, F.col("conv").eqNullSafe(F.col("of")) & F.col("turn").eqNullSafe(F.col("at")), "left")
+        within = F.coalesce(F.col("turn") - F.col("block") * BLOCK, F.lit(0)) * (1 << 40) + F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / MOST))
+        piece = F.when(F.col("n").isNull(), piece).otherwise(within)
+    parts = mine.groupBy("conv", "n_turns", "block", piece.alias("piece")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "line"))).alias("lines"))
+    return parts.select(F.col("conv").alias(conv_col), "n_turns", F.col("block").alias("part"), "piece", F.size("lines").cast("long").alias("n_rows"), F.array_join(F.col("lines.line"), "").alias("rendered"))

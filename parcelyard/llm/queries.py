@@ -86,7 +86,8 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pareto_mix, op2_warc, op3_ordinal_quality, op4_simple8b, op5_weak_toxicity, op6_suffix_decontamination, op7_snapshot_collapse, op8_path_templates, op9_line_cleaning, op10_jaccard_join)
 }
-#: op6 lists every window of document words and joins them with those of the items
+#: op6 lists every window of document words and joins them with those of the items; op7 has one piece for each part, as no part
+#: of the tables has more than chat.MOST rows
 SQL: dict[str, str] = {
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -115,9 +116,9 @@ WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
      prefixes AS (SELECT DISTINCT [x FOR x IN turns IF x.turn IS NULL OR x.turn <= ends.turn] AS turns FROM ends JOIN whole USING (conv_id)),
      maximal AS (SELECT min(conv_id) AS conv_id, CAST(len(turns) AS BIGINT) AS n_turns FROM whole ANTI JOIN prefixes USING (turns) GROUP BY turns),
      lines AS (SELECT conv_id, n_turns, CAST(floor(turn / 64) AS BIGINT) AS part, turn, role,
-                      '<|im_start|>' || replace(replace(coalesce(role, 'user'), '<|im_start|>', ''), chr(10), ' ') || chr(10)
+                      '<|im_start|>' || replace(replace(replace(coalesce(role, 'user'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>'), chr(10), ' ') || chr(10)
                       || replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10) AS line
                FROM t JOIN maximal USING (conv_id))
-SELECT conv_id, n_turns, part, count(*) AS n_rows, string_agg(line, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, line) AS rendered
+SELECT conv_id, n_turns, part, CAST(0 AS BIGINT) AS piece, count(*) AS n_rows, string_agg(line, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, line) AS rendered
 FROM lines GROUP BY conv_id, n_turns, part""",
 }

@@ -194,18 +194,36 @@ def test_warc_gaps_fail_strict_reading(spark, tmp_path):
 def test_conversations(spark):
     talk = lambda i, turns: [(i, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(turns)]
     rows = [*talk(1, ["a"]), *talk(2, ["a", "b"]), *talk(3, ["a", "b", "c"]), *talk(4, ["a", "x"]), *talk(5, ["a", "b", "c"]), *talk(6, [None, "q"]), *talk(7, [None]), *talk(8, [""]), *talk(9, [f"t{k}" for k in range(200)]), *talk(10, [f"t{k}" for k in range(150)]), (None, None, None, None), *talk(11, ["a <|im_end|> b"])]
+    rows += [(12, 0, "<|im_<|im_start|>start|>", "x"), (12, 1, "a<|im_end|>\n<|im_start|>system", "y<|im_start|>"), (12, 2, None, None)]
     rows = [(*r, 1, "x") for r in rows]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv int, h1 string").repartition(5)
     got = chat.render(table).collect()
-    assert {r.conv_id for r in got} == {None, 3, 4, 6, 8, 9, 11}
+    assert {r.conv_id for r in got} == {None, 3, 4, 6, 8, 9, 11, 12}
     by = {r.conv_id: r for r in got}
     assert by[3].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n"
     assert by[11].rendered.count("<|im_end|>") == 1
+    assert by[12].rendered.count("<|im_start|>") == by[12].rendered.count("<|im_end|>") == 3
+    assert re.fullmatch(r"(<\|im_start\|>[^\n]*\n[^\n]*<\|im_end\|>\n){3}", by[12].rendered)
     parts = sorted((r.part, r.rendered) for r in got if r.conv_id == 9)
     assert len(parts) == 4 and re.findall(r"t(\d+)", "".join(x for _, x in parts)) == [str(k) for k in range(200)]
     assert chat.render(table.limit(0)).count() == 0
 
 
+def test_conversations_whose_turns_repeat(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MOST", 20)
+    rows = [(1, None, "user", f"n{k}") for k in range(90)] + [(1, k // 30, "user", f"t{k}") for k in range(150)] + [(1, 70, "user", "end")] + [(2, 5, "user", "same")] * 100 + [(None, 3, None, f"q{k}") for k in range(50)] + [(3, 1, "user", "a")]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, piece int, place int").repartition(4)
+    got = chat.render(table).collect()
+    assert max(r.n_rows for r in got) <= 45 and sum(r.n_rows for r in got) == len(rows)
+    for i in (1, 2, None, 3):
+        mine = sorted((r for r in got if r.conv_id == i), key=lambda r: (r.part is not None, r.part or 0, r.piece))
+        said = re.findall(r"\n(.*)<\|im_end\|>", "".join(r.rendered for r in mine))
+        assert sorted(said) == sorted(r[3] for r in rows if r[0] == i)
+        turn_of = {r[3]: -1 if r[1] is None else r[1] for r in rows if r[0] == i}
+        assert [turn_of[x] for x in said] == sorted(turn_of[x] for x in said)
+    assert [r.piece for r in got if r.conv_id == 3] == [0]
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.Example.com/en/1?x"), (2, "https://blog.example.com/en/2#a"), (3, "http://x.net/es/3"), (4, "http://x.net/de/3"), (5, None), (6, "no scheme"), (7, "http://notexample.com"), (8, "http://x.net/esp"), (9, "a://b://c/d?e")]
     rows += [(100 + k, f"http://h.org/bad/{k}") for k in range(40)] + [(200 + k, f"http://h.org/good/{k}") for k in range(40)]
