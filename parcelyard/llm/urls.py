@@ -13,7 +13,9 @@ The tree is grown to the last segment of every path. A path leaves the rounds wh
 branch, as the rest of its template then follows from the path itself.
 
 Every step is a DataFrame aggregate over keys (host, node, ...) with a map-side combine, and a join back to the
-distinct paths; a host with a third of all URLs is never gathered in one task.
+distinct paths. The aggregates are written first, so that Spark knows their sizes when it plans the joins: small ones are
+broadcast and the paths stay where they are; beyond the broadcast limit adaptive execution splits a host with a third
+of all paths.
 """
 
 from __future__ import annotations
@@ -39,13 +41,11 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest of the rules (verdict, host, path) that fits, as host and path, and its verdict; nulls if none.
 
-    A rule fits its host and all subdomains if the path starts with ``/`` and the rule's path.
+    A rule fits its host and all subdomains if the path starts with ``/`` and the rule's path. So an empty path fits none.
     """
     rule = verdict = F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):  # a longer one is put over a shorter
         fits = ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(f"/{p}"))
-        if not p:  # the whole host, an empty path included
-            fits = (host == h) | F.endswith(host, F.lit(f".{h}"))
         rule, verdict = F.when(fits, f"{h}/{p}").otherwise(rule), F.when(fits, what).otherwise(verdict)
     return rule, verdict
 
@@ -70,7 +70,7 @@ def template_verdicts(urls: DataFrame, *, many: int = 20, variable: float = 0.5,
     every = leaves.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("g"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b")).first()
     total = float(every.g + 1) / float(every.g + every.b + 1)  # one row
     host = leaves.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    host = host.select(F.col("host").alias("h"), ((F.col("g") + strength * total) / (F.col("g") + F.col("b") + strength)).alias("purity"))
+    host = stored(host.select(F.col("host").alias("h"), ((F.col("g") + strength * total) / (F.col("g") + F.col("b") + strength)).alias("purity")), "hosts")
     leaves = stored(leaves.join(host, F.col("host") == F.col("h")).drop("h"), "leaves")
     columns = ["host", "path", F.col("node").alias("template"), "purity"]
     done = [leaves.where(F.size("segments") < 2).select(*columns)]
@@ -81,7 +81,7 @@ def template_verdicts(urls: DataFrame, *, many: int = 20, variable: float = 0.5,
         more = F.size("segments") > k
         child = now.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.sum(more.cast("int")).alias("paths"))
         child = stored(child, "children")
-        about = child.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
+        about = stored(child.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("good").alias("g"), F.sum("bad").alias("b")), "about")
         wild = (F.col("kinds") > many) & (F.col("kinds") > variable * F.col("all")) & ~F.col("segment").startswith("{")
         seen = F.col("good") + F.col("bad")
         pooled = F.col("g") / F.greatest(F.col("g") + F.col("b"), F.lit(1))
@@ -93,7 +93,8 @@ def template_verdicts(urls: DataFrame, *, many: int = 20, variable: float = 0.5,
         named = stored(named.select("host", "node", "segment", "name", "good", "bad", "paths"), "named")
         counts = named.groupBy(F.col("host").alias("h2"), F.col("node").alias("p2"), F.col("name").alias("c2")).agg(F.sum("good").alias("g2"), F.sum("bad").alias("b2"), F.sum("paths").alias("paths"))
         names = named.select(F.col("host").alias("h"), F.col("node").alias("p"), F.col("segment").alias("s"), "name")
-        names = names.join(counts, (F.col("h") == F.col("h2")) & (F.col("p") == F.col("p2")) & (F.col("name") == F.col("c2"))).select("h", "p", "s", "name", "g2", "b2", "paths")
+        names = names.join(stored(counts, "counts"), (F.col("h") == F.col("h2")) & (F.col("p") == F.col("p2")) & (F.col("name") == F.col("c2"))).select("h", "p", "s", "name", "g2", "b2", "paths")
+        names = stored(names, "names")
         leaves = now.join(names, (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")) & (F.col("segment") == F.col("s")))
         leaves = leaves.withColumn("node", F.concat("node", F.lit("/"), "name")).withColumn("purity", (F.col("g2") + strength * F.col("purity")) / (F.col("g2") + F.col("b2") + strength))
         leaves = stored(leaves.drop("h", "p", "s", "name", "g2", "b2", "segment"), "leaves")
