@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .shared import stored
 from .words import U64, Words, words
 
 WORD_BITS = 16
 N_HASHED = (1 << WORD_BITS) + (1 << 16)  #: words, and last two bytes of words
-SHAPES = ("log_words", "distinct", "top_word", "bare", "upper", "symbols", "digits", "bars", "shouts", "word_length")
+SHAPES = ("log_words", "distinct", "top_word", "bare", "upper", "symbols", "digits", "bars", "shouts", "word_length", "again")
 N_FEATURES = N_HASHED + len(SHAPES) + 1
 
 
@@ -64,6 +66,7 @@ def features(column: pa.Array) -> tuple[Sparse, Words]:
         np.bincount(w.row, ~letters, rows) / some, _share((data >= 0x41) & (data <= 0x5A), off), _share(symbol, off) * 10, _share((data >= 0x30) & (data <= 0x39), off) * 10,
         np.bincount(w.row, (w.end - w.start == 1) & (last == 0x7C), rows) / some * 5, np.bincount(w.row, last == 0x21, rows) / some * 5,
         np.bincount(w.row, np.minimum(w.end - w.start, 40), rows) / some / 20,
+        np.bincount(w.row[1:], (w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1]), rows) / some * 3,  # the word before, said again
     ]
     every = np.arange(rows)
     row = np.concatenate([row, *[every] * (len(SHAPES) + 1)])
@@ -84,17 +87,34 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], *, id_col: str, text_col: str, most: int) -> list:
-    """At most ``most`` labelled rows outside of the held-out fold: (text, *columns), always the same for the same tables.
+def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], *, id_col: str, text_col: str, most: int, unlabelled: int = 0, most_bytes: int = 32 << 20) -> pa.Table:
+    """A bounded sample outside of the held-out fold as (key, text, *columns), always the same for the same tables.
 
-    Several labels of an id are averaged, rows that lack one of ``columns`` are left out. The rows with the
-    smallest hashes of their ids are taken; only their texts reach the driver, at most ``most``.
+    It has at most ``most`` labelled ids, and of ``unlabelled`` more ids those that have no label, with nulls for
+    ``columns``: each time those with the smallest hashes. Several labels of an id are averaged, and one without one of
+    ``columns`` counts as none. Of rows that repeat an id one is taken, by the hash of its text. Texts are whole;
+    one that does not fit into what is left of ``most_bytes`` is passed over. Only these rows reach the driver.
     """
     few = labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("k")).agg(*[F.avg(c).alias(c) for c in columns])
-    few = few.dropna(subset=columns).orderBy(F.xxhash64("k"), "k").limit(most)
+    few = few.dropna(subset=columns).orderBy(F.xxhash64("k"), "k").limit(most).withColumn("given", F.lit(1))
+    if unlabelled:
+        ids = docs.select(F.col(id_col).alias("k")).where(F.col("k").isNotNull() & ~held_out(F.col("k"))).distinct().orderBy(F.xxhash64("k", F.lit(1)), "k").limit(unlabelled)
+        more = ids.join(labels.select(F.col(id_col).alias("of")), F.col("k") == F.col("of"), "left_anti")
+        few = few.unionByName(more.select("k", *[F.lit(None).cast("double").alias(c) for c in columns], F.lit(0).alias("given")))
+    few = stored(few, "sample")
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = rows.join(F.broadcast(few), F.col("key") == F.col("k"))
-    return found.select("key", "text", *columns)
+    found = found.groupBy("key").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"), *[F.first(c).alias(c) for c in (*columns, "given")])
+    table = stored(found.select("key", F.col("one.text").alias("text"), *columns, "given"), "sample")
+    sizes = table.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("key").alias("h"), "given").toArrow().to_pylist()
+    room, taken = most_bytes, []
+    for row in sorted(sizes, key=lambda r: (-r["given"], r["h"])):
+        if row["n"] <= room:
+            room -= row["n"]
+            taken.append(row["key"])
+    if len(taken) < len(sizes):
+        table = table.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], T.StructType([T.StructField("k", table.schema["key"].dataType)]))), F.col("key") == F.col("k"))
+    return table.select("key", F.coalesce("text", F.lit("")).alias("text"), *columns).orderBy("key").toArrow()
 
 
 def adam(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:

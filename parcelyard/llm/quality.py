@@ -85,11 +85,10 @@ def grade_documents(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_i
     ``tail_prob`` is P(grade >= at_least), and ``kept`` whether it is at least ``select``. Null and empty
     texts get the score of no words. Without ratings all grades are as likely.
     """
-    train = training_rows(docs, ratings, [grade_col], id_col=id_col, text_col=text_col, most=max_rows).toPandas()
-    train = train.sort_values("key")
-    texts = pa.array(train["text"], pa.large_string())
+    train = training_rows(docs, ratings, [grade_col], id_col=id_col, text_col=text_col, most=max_rows)
+    texts = train["text"].combine_chunks().cast(pa.large_string())
     x = stacked([features(texts.slice(a, b - a))[0] for a, b in slices(texts)])
-    grade = np.clip(np.round(train[grade_col].to_numpy(float)), 0, n_grades - 1).astype(np.int64)
+    grade = np.clip(np.round(train[grade_col].to_numpy().astype(float)), 0, n_grades - 1).astype(np.int64)
     model = docs.sparkSession.sparkContext.broadcast(fit(x, grade, n_grades))
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

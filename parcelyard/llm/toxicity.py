@@ -1,12 +1,17 @@
 """Toxicity by weak supervision.
 
-Many voters say whether a text looks toxic: one for each word of a lexicon, one for words that the labelled
-rows single out, and patterns. A generative model estimates how often each voter fires on toxic and on
-other texts, and the share of toxic ones, by expectation maximisation; a label, where a row has one, is one
-more voter whose errors are estimated too. Voters that fire together more than their estimated
-accuracies explain are correlated: they form groups, and a group's votes are weighted down to what
-independent voters of their number would be worth. A linear classifier over the votes and hashed words is then
-trained on the posterior labels, and scores all texts.
+Many voters say whether a text looks toxic: one for each word of a lexicon, one for each word that the labelled
+rows single out, and patterns. A generative model of the votes is fitted by expectation maximisation on a sample of
+documents outside of the held-out fold, most of them without labels: the share of toxic texts, each voter's accuracy
+(how often it fires on toxic and on other texts), and correlations. A label, where a row has one, is one more voter whose
+errors are estimated too.
+
+Correlations are estimated for pairs: given the posterior labels, the conditional mutual information of every two
+voters is taken, and the strongest pairs that make no circle become the edges of a forest. A voter with a parent has
+its accuracies for either vote of the parent, so that what two voters say together counts as much as it is worth.
+Pairs that such a forest leaves out are taken as independent given the others.
+
+A linear classifier over the votes and hashed words is then trained on the posterior labels, and scores all texts.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ LEXICON = (
 PATTERNS = ("two_insults", "three_insults", "dense_insults", "insult_after_article", "insult_after_you", "shouting", "many_exclamations")
 _ARTICLES = ("the", "a", "an", "you", "le", "la", "un", "une", "der", "die", "ein", "eine", "el", "los")
 _YOU = ("you", "your", "you're", "ur", "tu", "toi", "vous", "du", "dich", "ihr", "eres", "vosotros")
-LEARNED = 256  #: words taken from the labelled rows, at most
+LEARNED = 256  #: words taken from the labelled rows, at most: those that chance explains least
 
 
 def _hash(some: tuple[str, ...]) -> np.ndarray:
@@ -123,66 +128,130 @@ def learned_words(texts: pa.Array, label: np.ndarray, *, least: int = 5, odds: f
 
 @dataclass
 class LabelModel:
-    """Share of toxic rows, and how often each voter fires on either kind; ``temper`` weighs correlated voters down."""
+    """Share of toxic rows; how often each voter fires on other and on toxic rows, overall and by its parent's vote."""
 
     prior: float
     fires: np.ndarray  #: (2, voters): on other, on toxic rows
     label: np.ndarray  #: how often the label says toxic, on other and on toxic rows
-    temper: np.ndarray
-    groups: list[list[int]]
+    parent: np.ndarray  #: of each voter, or -1
+    by_parent: np.ndarray  #: (2 kinds of row, 2 votes of the parent, voters)
+
+    @property
+    def edges(self) -> list[tuple[int, int]]:
+        """The pairs of correlated voters."""
+        return [(int(p), k) for k, p in enumerate(self.parent) if p >= 0]
 
     def posterior(self, votes: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-        f0, f1 = self.fires
-        weight = self.temper * np.log(f1 * (1 - f0) / (f0 * (1 - f1)))
-        z = math.log(self.prior / (1 - self.prior)) + (self.temper * np.log((1 - f1) / (1 - f0))).sum() + votes @ weight
+        """How likely each row is toxic by its votes, and its label where that is known (not nan)."""
+        fires, silent = np.log(self.by_parent[1] / self.by_parent[0]), np.log((1 - self.by_parent[1]) / (1 - self.by_parent[0]))
+        z = math.log(self.prior / (1 - self.prior)) + silent[0].sum() + votes @ (fires[0] - silent[0])
+        some = np.flatnonzero(self.parent >= 0)
+        above, below = votes[:, self.parent[some]], votes[:, some]  # what a parent that fires changes
+        z = z + above @ (silent[1] - silent[0])[some] + (above * below) @ (fires[1] - silent[1] - fires[0] + silent[0])[some]
         if label is not None:
             a, b = self.label
-            z = z + label * math.log(b / a) + (1 - label) * math.log((1 - b) / (1 - a))
+            z = z + np.where(np.isnan(label), 0.0, np.where(label >= 0.5, math.log(b / a), math.log((1 - b) / (1 - a))))
         return sigmoid(z)
 
+    def worth(self) -> np.ndarray:
+        """The weight of each voter in a sum of votes: what its vote adds, given how its parent votes when it fires."""
+        odds = np.log(self.by_parent[1] / self.by_parent[0]) - np.log((1 - self.by_parent[1]) / (1 - self.by_parent[0]))
+        out = odds[0].copy()
+        for p, k in self.edges:
+            both = self.fires[1, p] * self.by_parent[1, 1, k] / max(self.fires[1, k], 1e-9)  # on toxic rows
+            out[k] = (1 - min(both, 1.0)) * odds[0, k] + min(both, 1.0) * odds[1, k]
+        return np.maximum(out, 0)
+
+
+def _forest(votes: np.ndarray, q: np.ndarray, least: float = 15.0, seen: int = 5) -> np.ndarray:
+    """The parent of each voter: a forest of the pairs with most conditional mutual information given the posteriors ``q``.
 
-def fit_labels(votes: np.ndarray, label: np.ndarray, rounds: int = 30, correlated: float = 0.15) -> LabelModel:
-    """Expectation maximisation, then groups of correlated voters, then again with their weights."""
+    Twice the information of a pair times the rows must be over ``least`` (independent voters stay under it but for one
+    pair in some thousands), and both must have fired ``seen`` times, as nothing can be told of rarer ones.
+    """
+    n, v = votes.shape
+    info = np.zeros((v, v))
+    for weight in (q, 1 - q):
+        total = weight.sum() + 1e-9
+        weighted = votes * weight[:, None]
+        both = votes.T @ weighted / total
+        one = weighted.sum(axis=0) / total
+        for x, y, joint in ((one, one, both), (one, 1 - one, one[:, None] - both), (1 - one, one, one[None, :] - both), (1 - one, 1 - one, 1 - one[:, None] - one[None, :] + both)):
+            joint, alone = np.maximum(joint, 0), np.maximum(np.outer(x, y), 1e-12)
+            info += total * np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-12) / alone), 0)
+    count = votes.sum(axis=0)
+    left, right = np.nonzero(np.triu((2 * info > least) & (count[:, None] >= seen) & (count[None, :] >= seen), 1))
+    group = list(range(v))
+
+    def top(k: int) -> int:
+        while group[k] != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+
+    near: list[list[int]] = [[] for _ in range(v)]
+    for k in np.argsort(-info[left, right], kind="stable").tolist():
+        a, b = int(left[k]), int(right[k])
+        if top(a) != top(b):
+            group[top(a)] = top(b)
+            near[a].append(b)
+            near[b].append(a)
+    parent = np.full(v, -1)
+    reached = np.zeros(v, bool)
+    for root in np.argsort(-count, kind="stable").tolist():
+        todo = [root] if not reached[root] else []
+        while todo:
+            k = todo.pop()
+            reached[k] = True
+            for j in near[k]:
+                if not reached[j]:
+                    parent[j] = k
+                    todo.append(j)
+    return parent
+
+
+def fit_labels(votes: np.ndarray, label: np.ndarray, rounds: int = 30) -> LabelModel:
+    """Expectation maximisation with a forest of correlated pairs, which is then estimated again. ``label`` is nan where unknown.
+
+    The first forest is that of the votes as the labelled rows alone explain them. Independent voters are not fitted
+    before, as many that copy each other would then be taken for the truth.
+    """
     n, v = votes.shape
     bound = lambda x: np.clip(x, 1e-4, 1 - 1e-4)
+    known = ~np.isnan(label)
+    says = np.where(known, label, 0.0)
     # Beta priors: a voter fires on 0.2 % of other rows and 2 % of toxic ones, worth ten rows; of the label, 2 % is wrong
     start = np.array([np.full(v, 0.002), np.full(v, 0.02)])
-    model = LabelModel(0.1, start, np.array([0.02, 0.95]), np.ones(v), [])
-    for again in range(2):
+    first = bound(np.array([(w @ votes[known] + 10 * s) / (w.sum() + 10) for w, s in zip((1 - says[known], says[known]), start)]))
+    first[1] = np.maximum(first[1], first[0])
+    model = LabelModel(0.1, first, np.array([0.02, 0.95]), np.full(v, -1), np.stack([first, first], axis=1))
+    for _ in range(2 if n else 0):
+        parent = _forest(votes, model.posterior(votes, label))
+        # A voter with a parent starts as one that follows it in toxic and other rows alike
+        some, by_parent = np.flatnonzero(parent >= 0), np.stack([model.fires, model.fires], axis=1)
+        for vote in (0, 1):
+            where = votes[:, parent[some]] == vote
+            by_parent[:, vote, some] = bound(((where * votes[:, some]).sum(axis=0) + 10 * model.fires[:, some]) / (where.sum(axis=0) + 10))
+        model = LabelModel(model.prior, model.fires, model.label, parent, by_parent)
         for _ in range(rounds):
-            q = model.posterior(votes, label) if n else np.zeros(0)
-            n1, n0 = q.sum(), n - q.sum()
-            f1 = (q @ votes + 10 * start[1]) / (n1 + 10)
-            f0 = ((1 - q) @ votes + 10 * start[0]) / (n0 + 10)
-            f1 = np.maximum(f1, f0)  # no voter speaks for a clean text
-            b = ((q * label).sum() + 95) / (n1 + 100)
-            a = (((1 - q) * label).sum() + 2) / (n0 + 100)
-            model = LabelModel(float(bound((n1 + 10) / (n + 100))), bound(np.array([f0, f1])), bound(np.array([a, max(b, a + 0.05)])), model.temper, model.groups)
-        if again or not n:
-            break
-        expected = q[:, None] * model.fires[1] + (1 - q)[:, None] * model.fires[0]
-        apart = votes - expected
-        moment = apart.T @ apart / n
-        scale = np.sqrt(np.maximum(np.diag(moment), 1e-9))
-        rho = moment / np.outer(scale, scale)
-        seen: set[int] = set(np.flatnonzero(votes.sum(axis=0) < 5).tolist())  # too rare to tell
-        for k in range(v):
-            if k in seen:
-                continue
-            group, todo = [], [k]
-            seen.add(k)
-            while todo:
-                x = todo.pop()
-                group.append(x)
-                for y in np.flatnonzero(rho[x] > correlated).tolist():
-                    if y not in seen:
-                        seen.add(y)
-                        todo.append(y)
-            if len(group) > 1:
-                inside = rho[np.ix_(group, group)]
-                mean = max(0.0, (inside.sum() - len(group)) / (len(group) * (len(group) - 1)))
-                model.temper[group] = 1 / (1 + mean * (len(group) - 1))
-                model.groups.append(group)
+            q = model.posterior(votes, label)
+            sides = (1 - q, q)
+            f = [(w @ votes + 10 * s) / (w.sum() + 10) for w, s in zip(sides, start)]
+            f[1] = np.maximum(f[1], f[0])  # no voter speaks for a clean text
+            fires = bound(np.array(f))
+            by_parent = np.stack([fires, fires], axis=1)
+            if len(some):
+                above, below = votes[:, parent[some]], votes[:, some]
+                for y, w in enumerate(sides):
+                    for vote, where in enumerate((1 - above, above)):
+                        weight = where * w[:, None]
+                        # As if a voter had been seen ten times more with each vote of its parent, firing as often as it does
+                        by_parent[y, vote, some] = bound(((weight * below).sum(axis=0) + 10 * fires[y, some]) / (weight.sum(axis=0) + 10))
+                # A vote for toxic may be worth nothing beside its parent's, but no vote speaks for a clean text
+                by_parent[1] = np.maximum(by_parent[1], by_parent[0])
+            b = ((q * says)[known].sum() + 95) / (q[known].sum() + 100)
+            a = (((1 - q) * says)[known].sum() + 2) / ((1 - q)[known].sum() + 100)
+            model = LabelModel(float(bound((q.sum() + 10) / (n + 100))), fires, bound(np.array([a, max(b, a + 0.05)])), parent, by_parent)
     return model
 
 
@@ -200,7 +269,9 @@ class Classifier:
 
 
 def train(texts: pa.Array, label: np.ndarray, *, steps: int = 120, rate: float = 0.1, decay: float = 2e-3) -> Classifier:
-    voters = Voters.of(learned_words(texts, label) if len(label) else ())
+    """The classifier of some texts with labels of 0, 1, or nan for none."""
+    known = np.flatnonzero(~np.isnan(label))
+    voters = Voters.of(learned_words(texts.take(pa.array(known)), label[known]) if len(known) else ())
     parts, rows, who = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in slices(texts):
         part = texts.slice(a, b - a)
@@ -209,14 +280,13 @@ def train(texts: pa.Array, label: np.ndarray, *, steps: int = 120, rate: float =
         rows.append(r + a)
         who.append(k)
     row, voter = np.concatenate(rows), np.concatenate(who)
-    votes = np.zeros((len(label), len(voters)))
+    votes = np.zeros((len(label), len(voters)), np.float32)
     votes[row, voter] = 1
     model = fit_labels(votes, label)
     # Voters start at what the label model finds them worth; the constant stands for silence of all
-    f0, f1 = model.fires
     start = np.zeros(N_FEATURES + len(voters))
-    start[N_FEATURES:] = model.temper * np.log(f1 * (1 - f0) / (f0 * (1 - f1)))
-    start[N_FEATURES - 1] = math.log(model.prior / (1 - model.prior)) + (model.temper * np.log((1 - f1) / (1 - f0))).sum()
+    start[N_FEATURES:] = model.worth()
+    start[N_FEATURES - 1] = math.log(model.prior / (1 - model.prior)) + np.log((1 - model.by_parent[1, 0]) / (1 - model.by_parent[0, 0])).sum()
     if not len(label):
         return Classifier(voters, start, model)
     target = model.posterior(votes)  # of the votes alone: labels only shaped the model
@@ -243,23 +313,25 @@ def _scores(model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 5_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, max_rows: int = 5_000, unlabelled: int = 3_000) -> DataFrame:
     """``<id>, held_out, score, predicted`` for each row of ``docs``.
 
-    The model sees texts, and labels of at most ``max_rows`` rows outside of the held-out fold (crc32 of the id
-    as text, modulo 3, is 1); no other column. All texts are scored whole; null counts as empty. ``predicted`` is 1
-    where the score is at least ``threshold``. Without labels the voters keep their prior accuracies.
+    The model sees the texts and labels of at most ``max_rows`` rows outside of the held-out fold (crc32 of the id
+    as text, modulo 3, is 1), and of ``unlabelled`` documents outside of it the texts of those without a label; no other
+    column. All texts are scored whole; null and empty ones get the score of no words. ``predicted`` is 1 where the score
+    is at least ``threshold``. Without labels the voters are those of the lexicon. Ids may be null or repeat, each row is
+    scored by its text; other columns don't matter; an empty table gives no rows.
     """
-    scorer = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows))
+    scorer = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows, unlabelled=unlabelled))
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInArrow(_scores(scorer), f"key {kind}, score double")
     return scored.select(F.col("key").alias(id_col), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 5_000) -> Classifier:
-    found = training_rows(docs, labels, [label_col], id_col=id_col, text_col=text_col, most=max_rows).toPandas().sort_values("key")
-    return train(pa.array(found["text"], pa.large_string()), found[label_col].to_numpy(float))
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 5_000, unlabelled: int = 3_000) -> Classifier:
+    found = training_rows(docs, labels, [label_col], id_col=id_col, text_col=text_col, most=max_rows, unlabelled=unlabelled)
+    return train(found["text"].combine_chunks().cast(pa.large_string()), found[label_col].to_numpy().astype(float))
 
 
 def _keep_below(model, threshold: float):
@@ -268,13 +340,17 @@ def _keep_below(model, threshold: float):
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 part = batch.slice(low, high - low)
-                yield pa.record_batch([part.column(0).filter(pa.array(model.value.score(part.column(1)) < threshold))], ["_row"])
+                yield pa.record_batch([part.column(0).filter(pa.array(model.value.score(part.column(1)) < threshold))], ["row"])
 
     return run
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted to be toxic, with all their columns."""
+    """The rows of ``docs`` that score under ``threshold``, with all their columns.
+
+    Null and empty texts are scored as in :func:`toxicity`; rows that repeat share their fate, columns may have any
+    names, and an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, text_col=text_col, **options))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_whole"))
-    return rows.mapInArrow(_keep_below(model, threshold), rows.select("_row").schema).select("_row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("whole"))
+    return rows.mapInArrow(_keep_below(model, threshold), rows.select("row").schema).select("row.*")
