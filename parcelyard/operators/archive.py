@@ -13,6 +13,8 @@ with the lowest entry index.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -63,16 +65,42 @@ def plan_entries(entries: DataFrame, *, profile: str = "fast", chunk: int = X.MI
 
 
 def numbered(entries: DataFrame) -> DataFrame:
-    """Adds entry_index by path where the caller has none. Archives of many entries should bring their own."""
+    """Adds entry_index by path where the caller has none."""
     if "entry_index" in entries.columns:
         return entries
-    return entries.withColumn("entry_index", F.row_number().over(W.partitionBy("archive").orderBy("archive_path", "is_directory", F.crc32("content"))) - 1)
+    return placed(entries.withColumn("_sum", F.crc32("content")), "archive", ["archive_path", "is_directory", "_sum"]).drop("_sum")
+
+
+def placed(entries: DataFrame, of: str, order: list[str]) -> DataFrame:
+    """Adds entry_index: the place of each row of ``of`` in the order of some columns, equal rows in any order.
+
+    Only these columns are put in order, in ranges of names that are then numbered by the sizes of the ranges before; the
+    rows with their contents are joined to their numbers and never sorted.
+    """
+    spark = entries.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = entries.groupBy(of, *order).agg(F.count("*").alias("_n"))
+    names = stored(names.repartitionByRange(parts, of, *[F.col(c).asc_nulls_first() for c in order]).withColumn("_range", F.spark_partition_id()), "names")
+    sums = names.groupBy(F.col(of).alias("_of"), F.col("_range").alias("_r")).agg(F.sum("_n").alias("_sum_n"))
+    before = W.partitionBy("_of").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_of", "_r", F.coalesce(F.sum("_sum_n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(of, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    numbers = names.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(sums, F.col(of).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_r")))
+    numbers = stored(numbers.select(F.col(of).alias("_of"), *[F.col(c).alias(f"_by{k}") for k, c in enumerate(order)], (F.col("_before") + F.col("_inside")).alias("_first"), "_n"), "numbers")
+    same = F.col(of).eqNullSafe(F.col("_of"))
+    for k, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    both = entries.join(numbers, same)
+    index = F.col("_first")
+    if numbers.where("_n > 1").limit(1).count():  # equal names are numbered among themselves
+        index = index + F.row_number().over(W.partitionBy(of, *order).orderBy(F.lit(1))) - 1
+    return both.withColumn("entry_index", index.cast("long")).drop("_of", *[f"_by{k}" for k in range(len(order))], "_first", "_n")
 
 
 _ENTRY = "<IHHIIIIQB"  # name length, flag, method, crc, packed, size, entry index, offset, directory
 
 
-def _segments(folder: str, password: str | None):
+def _segments(folder: str, password: str | None, seed: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_shared(folder)
         context = TaskContext.get()
@@ -98,7 +126,7 @@ def _segments(folder: str, password: str | None):
                 for j in secret:
                     if methods[j] == DEFLATE and len(packed[j]) >= len(bodies[j]):
                         packed[j], methods[j] = bodies[j], STORE
-                heads = [zlib.crc32(f"{rows[0][j]}/{rows[2][j]}".encode()).to_bytes(4, "little") * 3 for j in secret]
+                heads = [os.urandom(10) if seed is None else hashlib.sha256(f"{seed}/{rows[0][j]}/{rows[1][j]}/{rows[2][j]}/{crcs[j]}".encode()).digest() for j in secret]
                 for j, x in zip(secret, codecs.encrypt_all([packed[j] for j in secret], [crcs[j] >> 16 for j in secret], (password or "").encode(), heads)):
                     packed[j] = x
             for archive, index, path, flag, body, crc, x, method, is_dir in zip(rows[0], rows[1], rows[2], rows[7], bodies, crcs, packed, methods, rows[8]):
@@ -110,6 +138,8 @@ def _segments(folder: str, password: str | None):
                     out, side = fs.open_output_stream(f"{root}/{name}", compression=None), fs.open_output_stream(f"{root}/{name}.cd", compression=None)
                 if len(body) > MAX32 or len(x) > MAX32:
                     raise ArchiveError("unsupported", f"zip64 not implemented for file: {path}")
+                if path is None:
+                    raise ArchiveError("invalid_job", f"entry {index} of archive {archive} has no path")
                 e = Entry(path.encode(), flag, method, crc, len(x), len(body), at, is_dir)
                 record = local_header(e) + x + descriptor(e)
                 out.write(record)
@@ -153,11 +183,11 @@ def _assemble(folder: str):
     return run
 
 
-def create_archives(entries: DataFrame, *, profile: str = "fast", chunk: int = X.MIB, password: str | None = None, folder: str | None = None, parts: int | None = None, adaptive: bool = True) -> DataFrame:
+def create_archives(entries: DataFrame, *, profile: str = "fast", chunk: int = X.MIB, password: str | None = None, folder: str | None = None, parts: int | None = None, adaptive: bool = True, seed: int | None = None) -> DataFrame:
     """Write an archive for each value of ``archive``; returns archive, path, n_entries, bytes.
 
     ``entries`` has archive, archive_path, is_directory, content, and entry_index (else by path). Names may repeat.
-    No entries make no archive.
+    No entries make no archive. The cipher's headers are random; with a ``seed`` encrypted archives can be made again.
     """
     spark = entries.sparkSession
     planned = plan_entries(numbered(entries), profile=profile, chunk=chunk, encrypt=password is not None, adaptive=adaptive)
@@ -168,7 +198,7 @@ def create_archives(entries: DataFrame, *, profile: str = "fast", chunk: int = X
     rows = rows.select("archive", "entry_index", "archive_path", "method", "level", "chunk_size", "content", "flag", "is_directory")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "archive", "entry_index").sortWithinPartitions("archive", "entry_index")
-    segments = stored(dealt.mapInArrow(_segments(folder, password), "archive string, first long, segment string, bytes long, n long"), "segments")
+    segments = stored(dealt.mapInArrow(_segments(folder, password, seed), "archive string, first long, segment string, bytes long, n long"), "segments")
     whole = segments.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("first", "segment", "bytes", "n"))).alias("segments"))
     return stored(whole.mapInArrow(_assemble(folder), "archive string, path string, n_entries long, bytes long"), "archives")
 

@@ -165,10 +165,7 @@ def collect(spark: SparkSession, r: Request) -> DataFrame:
                 raise Invalid(Status.UNSUPPORTED, f"unsupported input type: {s.path}")
         rows = rows.withColumn("source_index", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
-    # The order of entries needs their names only; contents are joined by it in the archive's own ranges
-    from pyspark.sql import Window as W
-
-    return out.withColumn("entry_index", F.row_number().over(W.orderBy("source_index", "archive_path")) - 1)
+    return A.placed(out, "archive", ["source_index", "archive_path"])  # by names only, contents are not put in order
 
 
 def execute(spark: SparkSession, r: Request, context: Context | None = None) -> Result:

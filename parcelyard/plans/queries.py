@@ -14,6 +14,7 @@ from ..functions import codecs
 from ..functions import expressions as X
 from ..operators import archive as A
 from ..ship import ship
+from ..sources import datasource
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,6 +99,12 @@ def adaptive_candidate(spark, d):
 _CHUNK = f"greatest(65536, 1048576, CASE WHEN {VIRTUAL} >= 1073741824 THEN 33554432 WHEN {VIRTUAL} >= 268435456 THEN 16777216 WHEN {VIRTUAL} >= 67108864 THEN 8388608 WHEN {VIRTUAL} >= 16777216 THEN 4194304 ELSE 0 END)"
 
 
+@query(f"SELECT {KEYS}, o AS option, greatest(65536, o, ({_CHUNK} // 1048576) * CASE WHEN {VIRTUAL} >= 16777216 THEN 1048576 ELSE 0 END)::BIGINT AS chunk_size FROM lineitem, unnest([1, 65536, 3000000, 67108864]) AS t(o)")
+def chunk_size_ladder(spark, d):
+    rows = _virtual(spark, d).withColumn("option", F.explode(F.array(*[F.lit(o) for o in (1, 65536, 3000000, 67108864)])))
+    return rows.select("l_orderkey", "l_linenumber", "option", X.chunk_size(F.col("v"), F.col("option")).alias("chunk_size"))
+
+
 @query(f"SELECT {KEYS}, ({_CHUNK})::BIGINT AS chunk_size, greatest(1, ({VIRTUAL} + {_CHUNK} - 1) // {_CHUNK})::BIGINT AS chunk_count, 'chunked-cpu' AS execution_path FROM lineitem")
 def chunk_plan(spark, d):
     size = X.chunk_size(F.col("v"), X.MIB)
@@ -163,12 +170,19 @@ def central_dir_size(spark, d):
     return _docs(spark, d).groupBy("source").agg(F.sum(X.directory_record_size(F.col("archive_path"), F.lit(0))).alias("directory_bytes"))
 
 
-@query(f"SELECT {KEYS}, {VIRTUAL} > 4294967295 AS needs_zip64 FROM lineitem")
+@query(f"SELECT {KEYS}, l_orderkey::BIGINT * 7 % 131072 > 65535 OR l_linenumber::BIGINT * 1000000000 > 4294967295 OR {VIRTUAL} > 4294967295 AS needs_zip64 FROM lineitem")
 def zip64_needed(spark, d):
-    return _virtual(spark, d).select("l_orderkey", "l_linenumber", X.needs_zip64(F.lit(1), F.lit(0), F.col("v")).alias("needs_zip64"))
+    """By any of the three: the number of entries, the size of the directory, its offset."""
+    count, size = F.col("l_orderkey") * 7 % 131072, F.col("l_linenumber") * 1000000000
+    return _virtual(spark, d).select("l_orderkey", "l_linenumber", X.needs_zip64(count, size, F.col("v")).alias("needs_zip64"))
+
+
+#: DuckDB has no CRC-32: bytes from hexadecimal digits, and the 256 steps of the reflected polynomial 0xEDB88320
+_CRC = """(SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, v: xor(steps[(xor(a, v) & 255) + 1], a >> 8)), 4294967295)::BIGINT AS crc32
+FROM documents, (SELECT list(c ORDER BY n) AS steps FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS n))))"""
 
 
-@query()
+@query(f"SELECT doc_id, crc32 FROM {_CRC}")
 def crc32_payload(spark, d):
     return _docs(spark, d).select("doc_id", F.crc32("content").alias("crc32"))
 
@@ -237,9 +251,92 @@ def archive_test(spark, d):
     return A.test_archives(A.create_archives(_entries(spark, d))).select("name", "status")
 
 
-@query("SELECT coalesce(source, 'none') AS archive, 'ok' AS status, count(*) AS files FROM documents GROUP BY 1")
+@query(f"SELECT 'file ' || lpad(({SIZE})::VARCHAR, 10, ' ') || ' method=store(0) encrypted=no crc=0x' || lower(lpad(to_hex(crc32), 8, '0')) || ' ' || {PATH} AS line FROM documents JOIN {_CRC} USING (doc_id)")
+def archive_list_text(spark, d):
+    """The lines of a listing without the packed size, which is the 11 characters after the size."""
+    listed = A.list_archives(A.create_archives(_entries(spark, d), profile="store"))
+    line = X.list_line(F.col("is_directory"), F.col("size"), F.col("packed"), F.col("method"), F.col("encrypted"), F.col("crc32"), F.col("name"))
+    return listed.select(F.concat(F.substring(line, 1, 15), F.substring(line, 27, 1 << 20)).alias("line"))
+
+
+def _damaged(made: DataFrame) -> DataFrame:
+    """Copies of stored archives with the first byte flipped of each entry that isn't empty and whose number 7 divides."""
+    folder = A.new_path(made.sparkSession, "damaged")
+    fs, root = A.open_shared(folder)
+    fs.create_dir(root, recursive=True)
+    number = F.regexp_extract("name", r"(-?\d+)\.txt$", 1).cast("long")
+    spots = A.list_archives(made).where((number % 7 == 0) & (F.col("size") > 0)).groupBy("archive", "path").agg(F.sort_array(F.collect_list(F.col("offset") + 30 + F.octet_length("name_raw"))).alias("spots"))
+    both = made.select("archive", "path").join(spots.select(F.col("archive").alias("of"), "spots"), F.col("archive") == F.col("of"), "left").select("archive", "path", "spots")
+
+    def copy(batches):
+        for batch in batches:
+            for archive, path, spots in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, at = A.open_shared(path)
+                to = f"{folder}/{at.rsplit('/', 1)[1]}"
+                with fs.open_input_file(at) as source, fs.open_output_stream(A.open_shared(to)[1], compression=None) as out:
+                    place, left = 0, list(spots or [])
+                    while piece := bytearray(source.read(A.PIECE)):
+                        while left and left[0] < place + len(piece):
+                            piece[left.pop(0) - place] ^= 1
+                        out.write(bytes(piece))
+                        place += len(piece)
+                yield A.pa.record_batch([A.pa.array([archive]), A.pa.array([to])], ["archive", "path"])
+
+    return A.stored(both.mapInArrow(copy, "archive string, path string"), "damaged")
+
+
+_BAD = "doc_id % 7 = 0 AND octet_length(encode(coalesce(text, ''))) > 0"
+
+
+@query(f"SELECT {PATH} AS name, CASE WHEN {_BAD} THEN 'invalid_job' ELSE 'ok' END AS status, CASE WHEN {_BAD} THEN 'crc mismatch while validating: ' || {PATH} END AS message FROM documents")
+def archive_test_corrupt(spark, d):
+    return A.test_archives(_damaged(A.create_archives(_entries(spark, d), profile="store"))).select("name", "status", "message")
+
+
+@query(f"""SELECT archive, CASE WHEN n_bad > 0 THEN 'invalid_job' ELSE 'ok' END AS status, CASE WHEN n_bad > 0 THEN 'crc mismatch while validating: ' || first_bad END AS message, files
+FROM (SELECT coalesce(source, 'none') AS archive, count(*) AS files, count(*) FILTER ({_BAD}) AS n_bad, arg_min({PATH}, doc_id) FILTER ({_BAD}) AS first_bad FROM documents GROUP BY 1)""")
 def first_error(spark, d):
-    return A.first_failure(A.test_archives(A.create_archives(_entries(spark, d)))).select("archive", "status", "files")
+    checks = A.test_archives(_damaged(A.create_archives(_entries(spark, d), profile="store")))
+    return A.first_failure(checks).select("archive", "status", "message", "files")
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def archive_zipfile_interop(spark, d):
+    """Archives of 64 documents that Python's zipfile writes, read by the engine."""
+    folder = A.new_path(spark, "zipfile")
+    fs, root = A.open_shared(folder)
+    fs.create_dir(root, recursive=True)
+
+    def write(key, table):
+        import zipfile
+
+        path = f"{folder}/{key[0].as_py()}.zip"
+        with A.open_shared(path)[0].open_output_stream(A.open_shared(path)[1], compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, body in sorted(zip(table["archive_path"].to_pylist(), table["content"].to_pylist())):
+                z.writestr(name, body)
+        return A.pa.table({"archive": [str(key[0].as_py())], "path": [path]})
+
+    some = _docs(spark, d).select(F.floor(F.col("doc_id") / 64).alias("of"), "archive_path", "content")
+    made = A.stored(some.groupBy("of").applyInArrow(write, "archive string, path string"), "zipfile")
+    return _named(A.extract_archives(made))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def incremental_extract(spark, d):
+    """All archives of a folder by the data source, a few entries at a time."""
+    datasource.register(spark)
+    folder = A.new_path(spark, "folder")
+    A.create_archives(_entries(spark, d), folder=folder)
+    return _named(spark.read.format("ziparchive").option("entriesPerPartition", "500").load(folder))
+
+
+@query(f"SELECT {PATH} AS name, CASE WHEN length(coalesce(source, 'none')) % 2 = 0 THEN 1 ELSE 0 END AS flag_bit, length(coalesce(source, 'none')) % 2 = 0 AS encrypted FROM documents")
+def encrypted_flags(spark, d):
+    """Archives of sources whose name has an even length are encrypted."""
+    rows = _entries(spark, d)
+    even = F.length("archive") % 2 == 0
+    made = A.create_archives(rows.where(even), password="a secret").unionByName(A.create_archives(rows.where(~even)))
+    return A.list_archives(made).select("name", F.col("flag").bitwiseAND(F.lit(1)).alias("flag_bit"), "encrypted")
 
 
 @query("SELECT doc_id, true AS within FROM documents")
@@ -249,18 +346,25 @@ def compressed_size_bounds(spark, d):
     return _docs(spark, d).select("doc_id", ((packed > 0) & (packed <= n + n / 1000 + 64)).alias("within"))
 
 
-@query(f"SELECT coalesce(source, 'none') AS source, count(*) AS files, sum({SIZE})::BIGINT AS size, 100::BIGINT AS expansion FROM documents GROUP BY 1")
+@query(f"SELECT coalesce(source, 'none') AS source, count(*) AS files, sum({SIZE})::BIGINT AS size, CASE WHEN sum(doc_id) = 0 THEN 100 ELSE sum({SIZE})::BIGINT * 100 // sum(doc_id)::BIGINT END::BIGINT AS expansion FROM documents GROUP BY 1")
 def summary_by_source(spark, d):
+    """The sum of ids stands for the packed size, since real ones are the codec's own."""
     rows = _docs(spark, d).withColumn("size", F.octet_length("content").cast("long"))
-    per = rows.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
-    return per.withColumn("expansion", X.expansion_x100(F.col("size"), F.col("size")))
+    per = rows.groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.sum("doc_id").alias("packed"))
+    return per.select("source", "files", "size", X.expansion_x100(F.col("size"), F.col("packed")).alias("expansion"))
 
 
 @query(f"WITH s AS (SELECT doc_id, coalesce(source, 'none') AS source, {SIZE} AS n FROM documents) SELECT doc_id, sum(n) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS done_bytes, count(*) OVER (PARTITION BY source ORDER BY doc_id) AS done_items FROM s")
 def progress_events(spark, d):
-    rows = _docs(spark, d).select("doc_id", "source", F.octet_length("content").cast("long").alias("n"))
-    w = W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return rows.select("doc_id", F.sum("n").over(w).alias("done_bytes"), F.count("*").over(w).alias("done_items"))
+    """Running sums in blocks of 4096 ids, and over the sums of blocks, so that no source is put in order by one task."""
+    rows = _docs(spark, d).select("doc_id", "source", F.floor(F.col("doc_id") / 4096).alias("block"), F.octet_length("content").cast("long").alias("n"))
+    blocks = rows.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.sum("n").alias("bytes"), F.count("*").alias("items"))
+    before = W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("s", "b", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes"), F.coalesce(F.sum("items").over(before), F.lit(0)).alias("items"))
+    inside = W.partitionBy("source", "block").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("doc_id", "source", "block", F.sum("n").over(inside).alias("own_bytes"), F.count("*").over(inside).alias("own_items"))
+    both = rows.join(blocks, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
+    return both.select("doc_id", (F.col("own_bytes") + F.col("bytes")).alias("done_bytes"), (F.col("own_items") + F.col("items")).alias("done_items"))
 
 
 @query(f"""SELECT {KEYS}, CASE WHEN v >= 1073741824 THEN CASE WHEN v / 1073741824.0 >= 100 THEN printf('%.0f', v / 1073741824.0) ELSE printf('%.1f', v / 1073741824.0) END || ' GB'

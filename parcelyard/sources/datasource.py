@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from ..functions import codecs
 from ..functions.expressions import MIB
 from ..storage import open_shared
-from .records import DEFLATE, HAS_DESCRIPTOR, STORE, UTF8, Entry, Ranges, descriptor, directory_record, end_records, local_header, parse_directory
+from .records import DEFLATE, HAS_DESCRIPTOR, STORE, UTF8, Entry, Ranges, descriptor, directory_range, directory_record, end_records, local_header, placed_entries
 
 SCHEMA = "path string, entry_index long, name string, flag int, method int, crc32 long, packed long, size long, offset long, is_directory boolean, status string, message string, content binary"
 
@@ -29,6 +29,7 @@ class Slice(InputPartition):
     path: str
     low: int
     high: int
+    at: int  #: of the first record within the directory
 
 
 def _files(path: str) -> list[str]:
@@ -50,13 +51,16 @@ class ZipReader(DataSourceReader):
         self.step = int(options.get("entriesperpartition", "5000"))
 
     def partitions(self) -> list[Slice]:
+        """Only the end of a file is read here, and of one with several slices the directory, to find where they begin."""
         out = []
         for path in _files(self.path):
             fs, at = open_shared(path)
             with fs.open_input_file(at) as file:
-                n = sum(1 for _ in parse_directory(Ranges(file, file.size())))
-            out += [Slice(path, k, min(n, k + self.step)) for k in range(0, n, self.step)]
-        return out or [Slice("", 0, 0)]
+                r = Ranges(file, file.size())
+                n = directory_range(r)[0]
+                starts = [0] if n <= self.step else [place for k, (place, _) in enumerate(placed_entries(r)) if k % self.step == 0]
+            out += [Slice(path, k * self.step, min(n, (k + 1) * self.step), place) for k, place in enumerate(starts) if n]
+        return out or [Slice("", 0, 0, 0)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         from ..operators.archive import ArchiveError, decode
@@ -66,9 +70,7 @@ class ZipReader(DataSourceReader):
         fs, at = open_shared(partition.path)
         with fs.open_input_file(at) as file:
             r = Ranges(file, file.size())
-            for k, e in enumerate(parse_directory(r)):
-                if not partition.low <= k < partition.high:
-                    continue
+            for k, (_, e) in enumerate(placed_entries(r, partition.at, partition.high - partition.low), partition.low):
                 content, status = None, ("ok", None)
                 if self.content and not e.directory:
                     try:

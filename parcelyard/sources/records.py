@@ -121,10 +121,16 @@ def directory_range(r: Ranges) -> tuple[int, int, int]:
 
 
 def parse_directory(r: Ranges) -> Iterator[Entry]:
+    return (e for _, e in placed_entries(r))
+
+
+def placed_entries(r: Ranges, at: int = 0, most: int | None = None) -> Iterator[tuple[int, Entry]]:
+    """Entries with the places of their records in the directory: ``most`` of them from the place ``at`` on."""
     count, size, offset = directory_range(r)
-    body = r.read(offset, size, "central directory points outside the archive")
-    at = 0
-    for _ in range(count):
+    # A record of a slice has 46 bytes and three fields of 16-bit lengths, so no more than that is read
+    body = r.read(offset + at, size - at if most is None else min(size - at, most * (46 + 3 * MAX16)), "central directory points outside the archive")
+    base, at, size = at, 0, len(body)
+    for _ in range(count if most is None else most):
         if at + 46 > size:
             raise ArchiveError("invalid_job", "truncated central directory entry")
         sig, _, _, flag, method, _, _, crc, packed, full, n_name, n_extra, n_comment, _, _, external, where = struct.unpack_from("<IHHHHHHIIIHHHHHII", body, at)
@@ -152,7 +158,7 @@ def parse_directory(r: Ranges) -> Iterator[Entry]:
                     wide.append(value)
                 full, packed, where = wide
             k += 4 + n
-        yield Entry(name, flag, method, crc, packed, full, where, name.endswith(b"/") or bool(external & 0x10))
+        yield base + at, Entry(name, flag, method, crc, packed, full, where, name.endswith(b"/") or bool(external & 0x10))
         at = end
 
 

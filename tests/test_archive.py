@@ -175,3 +175,30 @@ def test_arriving_archives(spark, tmp_path):
     stream = arriving_entries(spark, str(tmp_path)).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     stream.awaitTermination(120)
     assert spark.table("arrived").count() == len(FILES)
+
+
+def test_numbering_needs_names_only(spark):
+    rows = [(a, f"n{k % 37:02}", k % 5 == 0, bytes([k])) for a in ("x", "y") for k in range(150)] + [("x", None, False, b"")]
+    table = spark.createDataFrame(rows, "archive string, archive_path string, is_directory boolean, content binary").repartition(6)
+    got = A.placed(table, "archive", ["archive_path", "is_directory"]).collect()
+    assert len(got) == len(rows)
+    for a in ("x", "y"):
+        mine = sorted((r for r in got if r.archive == a), key=lambda r: r.entry_index)
+        assert [r.entry_index for r in mine] == list(range(len(mine)))
+        key = [(r.archive_path is not None, r.archive_path or "", r.is_directory) for r in mine]
+        assert key == sorted(key)
+
+
+def test_cipher_headers_are_random_unless_seeded(spark):
+    made = lambda **o: body_of(A.create_archives(entries(spark, FILES[:3]), password="pw", **o))
+    assert made() != made() and made(seed=1) == made(seed=1) != made(seed=2)
+
+
+def test_data_source_reads_slices(spark, tmp_path):
+    datasource.register(spark)
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for k in range(257):
+            z.writestr(f"e{k}", str(k) * k)
+    got = spark.read.format("ziparchive").option("entriesPerPartition", "50").load(str(tmp_path))
+    assert got.rdd.getNumPartitions() == 6
+    assert [(r.entry_index, r.name, bytes(r.content)) for r in got.orderBy("entry_index").collect()] == [(k, f"e{k}", (str(k) * k).encode()) for k in range(257)]
