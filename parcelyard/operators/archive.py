@@ -1,7 +1,8 @@
 """Create, list, test and extract archives as DataFrame operations.
 
-Creating: entries are planned with column expressions, dealt out by ranges of (archive, entry_index), and each task
-writes the local records of its slice into segment files, which hold no absolute offsets. Then one row per
+Creating: entries are planned with column expressions, dealt out by ranges of (archive, entry_index, chunk), and each task
+writes the local records of its slice into segment files, which hold no absolute offsets. Entries of several chunks are
+dealt chunk by chunk, so a large one is deflated by many tasks. Then one row per
 archive, with its segments' names in order, is assembled: segments are copied in pieces and the directory,
 whose offsets follow from the segments' sizes, is put behind them. An archive may be spread over any number of tasks,
 and its bytes do not depend on how it was.
@@ -98,83 +99,166 @@ def placed(entries: DataFrame, of: str, order: list[str]) -> DataFrame:
 
 
 _ENTRY = "<IHHIIIIQB"  # name length, flag, method, crc, packed, size, entry index, offset, directory
+SEGMENT = "archive string, first long, chunk long, segment string, bytes long, n long, ahead long, patch long"
+
+
+def _dealt(planned: DataFrame) -> DataFrame:
+    """Entries as rows of at most one chunk each, so that the chunks of a large entry can go to different tasks.
+
+    Encrypted entries are whole, since the cipher runs through an entry. All of it is built-in functions; the content
+    is not among the columns that are repeated for each chunk.
+    """
+    body = F.coalesce("content", F.lit(b"").cast("binary"))
+    whole = (F.col("flag").bitwiseAND(ENCRYPTED) != 0) | (F.col("chunk_count") <= 1)
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunk_count") - 1), lambda k: F.substring(body, (k * F.col("chunk_size") + 1).cast("int"), F.col("chunk_size").cast("int")))
+    rows = planned.select(
+        "archive", F.col("entry_index").cast("long").alias("entry_index"), "archive_path", "method", "level", "flag", "is_directory", F.col("size").alias("full"), F.crc32(body).alias("crc"),
+        F.posexplode(F.when(whole, F.array(body)).otherwise(cut)).alias("chunk_index", "payload"), F.when(whole, F.lit(1).cast("long")).otherwise(F.col("chunk_count")).alias("chunks"),
+    )
+    return rows.withColumn("chunk_index", F.col("chunk_index").cast("long")).select(*_CHUNK)
+
+
+_CHUNK = ("archive", "entry_index", "archive_path", "method", "level", "flag", "is_directory", "full", "crc", "chunk_index", "chunks", "payload")
 
 
 def _segments(folder: str, password: str | None, seed: int | None):
+    """Local records of a task's chunks, a segment for each archive, and a side file with its entries.
+
+    A task may begin or end inside an entry. Only the first entry of a segment can have begun before it; where such an entry
+    ends, its packed size is not known here, so its descriptor is left open at ``patch`` behind the ``ahead`` bytes of that entry.
+    An entry that goes on in the next segment has what was packed so far in the side file.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_shared(folder)
         context = TaskContext.get()
-        now, out, side, at, first, n, k = None, None, None, 0, 0, 0, 0
-        name = ""
+        out = side = e = None
+        now = name = None
+        first = chunk = at = n = ahead = k = 0
+        patch, index = -1, 0
+
+        def entered() -> None:
+            """The open entry, as far as it is packed, in the side file."""
+            nonlocal e, n
+            if e is not None:
+                side.write(struct.pack(_ENTRY, len(e.name), e.flag, e.method, e.crc, e.packed, e.size, index & MAX32, e.offset, e.directory) + e.name)
+                e, n = None, n + 1
 
         def close() -> pa.RecordBatch:
+            entered()
             out.close()
             side.close()
-            return pa.record_batch([pa.array([x]) for x in (now, first, f"{folder}/{name}", at, n)], ["archive", "first", "segment", "bytes", "n"])
+            return pa.record_batch([pa.array([x]) for x in (now, first, chunk, f"{folder}/{name}", at, n, ahead, patch)], [x.split()[0] for x in SEGMENT.split(", ")])
 
         for batch in batches:
-            rows = [c.to_pylist() for c in batch.columns]
-            bodies = [x or b"" for x in rows[6]]
-            crcs = [zlib.crc32(x) for x in bodies]
-            packed, methods = [], []
-            for body, method, level, chunk in zip(bodies, rows[3], rows[4], rows[5]):
-                x = codecs.deflate(body, level, chunk) if method == DEFLATE else body
-                packed.append(x)
-                methods.append(method)
-            secret = [j for j, flag in enumerate(rows[7]) if flag & ENCRYPTED]
+            rows = {c: batch.column(j).to_pylist() for j, c in enumerate(_CHUNK)}
+            packed = []
+            for body, method, level, part, parts in zip(rows["payload"], rows["method"], rows["level"], rows["chunk_index"], rows["chunks"]):
+                packed.append(codecs.deflate_chunk(body, level, part + 1 == parts) if method == DEFLATE else body)
+            secret = [j for j, flag in enumerate(rows["flag"]) if flag & ENCRYPTED]
             if secret:
                 for j in secret:
-                    if methods[j] == DEFLATE and len(packed[j]) >= len(bodies[j]):
-                        packed[j], methods[j] = bodies[j], STORE
-                heads = [os.urandom(10) if seed is None else hashlib.sha256(f"{seed}/{rows[0][j]}/{rows[1][j]}/{rows[2][j]}/{crcs[j]}".encode()).digest() for j in secret]
-                for j, x in zip(secret, codecs.encrypt_all([packed[j] for j in secret], [crcs[j] >> 16 for j in secret], (password or "").encode(), heads)):
+                    if rows["method"][j] == DEFLATE and len(packed[j]) >= len(rows["payload"][j]):
+                        packed[j], rows["method"][j] = rows["payload"][j], STORE
+                heads = [os.urandom(10) if seed is None else hashlib.sha256(f"{seed}/{rows['archive'][j]}/{rows['entry_index'][j]}/{rows['archive_path'][j]}/{rows['crc'][j]}".encode()).digest() for j in secret]
+                for j, x in zip(secret, codecs.encrypt_all([packed[j] for j in secret], [rows["crc"][j] >> 16 for j in secret], (password or "").encode(), heads)):
                     packed[j] = x
-            for archive, index, path, flag, body, crc, x, method, is_dir in zip(rows[0], rows[1], rows[2], rows[7], bodies, crcs, packed, methods, rows[8]):
+            for archive, place, path, method, flag, is_dir, full, crc, part, parts, x in zip(*(rows[c] for c in ("archive", "entry_index", "archive_path", "method", "flag", "is_directory", "full", "crc", "chunk_index", "chunks")), packed):
+                if path is None:
+                    raise ArchiveError("invalid_job", f"entry {place} of archive {archive} has no path")
                 if archive != now or out is None:
                     if out is not None:
                         yield close()
-                    now, at, first, n, k = archive, 0, index, 0, k + 1
+                    now, first, chunk, at, n, ahead, patch, k = archive, place, part, 0, 0, 0, -1, k + 1
                     name = f"segment-{context.partitionId():06d}-{k:06d}-{context.taskAttemptId()}"
                     out, side = fs.open_output_stream(f"{root}/{name}", compression=None), fs.open_output_stream(f"{root}/{name}.cd", compression=None)
-                if len(body) > MAX32 or len(x) > MAX32:
+                if part == 0:
+                    entered()
+                    e, index = Entry(path.encode(), flag, method, crc, 0, full, at, is_dir), place
+                    head = local_header(Entry(e.name, flag, method, crc, len(x), full, at, is_dir))
+                    out.write(head)
+                    at += len(head)
+                out.write(x)
+                at += len(x)
+                if e is None:
+                    ahead += len(x)
+                else:
+                    e.packed += len(x)
+                if full > MAX32 or (e is not None and e.packed > MAX32):
                     raise ArchiveError("unsupported", f"zip64 not implemented for file: {path}")
-                if path is None:
-                    raise ArchiveError("invalid_job", f"entry {index} of archive {archive} has no path")
-                e = Entry(path.encode(), flag, method, crc, len(x), len(body), at, is_dir)
-                record = local_header(e) + x + descriptor(e)
-                out.write(record)
-                side.write(struct.pack(_ENTRY, len(e.name), flag, method, crc, len(x), len(body), index & MAX32, at, is_dir) + e.name)
-                at, n = at + len(record), n + 1
+                if part + 1 == parts:
+                    if e is None:
+                        patch = at
+                    tail = descriptor(e or Entry(path.encode(), flag, method, crc, 0, full, 0, is_dir))
+                    out.write(tail)
+                    at += len(tail)
         if out is not None:
             yield close()
 
     return run
 
 
+def _entries_of(body: bytes) -> Iterator[Entry]:
+    """The entries of a side file."""
+    k = 0
+    while k < len(body):
+        n, flag, method, crc, packed, full, _, offset, is_dir = struct.unpack_from(_ENTRY, body, k)
+        k += struct.calcsize(_ENTRY)
+        yield Entry(body[k : k + n], flag, method, crc, packed, full, offset, bool(is_dir))
+        k += n
+
+
 def _assemble(folder: str):
+    """One archive of its segments: they are copied in pieces, open descriptors are filled in, and the directory follows.
+
+    Besides a piece, the packed size of entries that lie in several segments is held, at most one for a segment.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_shared(folder)
         attempt = TaskContext.get().taskAttemptId()
+
+        def side(segment: dict) -> bytes:
+            with fs.open_input_file(open_shared(segment["segment"])[1] + ".cd") as file:
+                return file.read()
+
         for batch in batches:
             for archive, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = f"{zlib.crc32(str(archive).encode()):08x}-{''.join(c if c.isalnum() else '_' for c in str(archive))[:80]}-{attempt}.zip"
                 count = at = 0
+                last: Entry | None = None  # of all segments before
+                totals: dict[int, int] = {}  # packed size of the last entry that begins in a segment, if it goes on in others
+                owner = -1
                 with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
-                    for s in segments:
+                    for j, s in enumerate(segments):
+                        if s["ahead"]:
+                            totals[owner] = totals.get(owner, last.packed) + s["ahead"]
+                            if totals[owner] > MAX32:
+                                raise ArchiveError("unsupported", f"zip64 not implemented for file: {last.text}")
                         with fs.open_input_file(open_shared(s["segment"])[1]) as piece:
+                            if s["patch"] >= 0:
+                                left = s["patch"]
+                                while left and (data := piece.read(min(PIECE, left))):
+                                    out.write(data)
+                                    left -= len(data)
+                                tail = descriptor(Entry(last.name, last.flag, last.method, last.crc, totals.get(owner, last.packed), last.size, 0, last.directory))
+                                piece.seek(s["patch"] + len(tail))
+                                out.write(tail)
                             while data := piece.read(PIECE):
                                 out.write(data)
+                        for e in _entries_of(side(s)):
+                            last, owner = e, j
                     size = 0
-                    for s in segments:
-                        with fs.open_input_file(open_shared(s["segment"])[1] + ".cd") as side:
-                            body = side.read()
-                        k = 0
-                        while k < len(body):
-                            n, flag, method, crc, packed, full, _, offset, is_dir = struct.unpack_from(_ENTRY, body, k)
-                            k += struct.calcsize(_ENTRY)
-                            record = directory_record(Entry(body[k : k + n], flag, method, crc, packed, full, at + offset, bool(is_dir)))
-                            out.write(record)
-                            k, size, count = k + n, size + len(record), count + 1
+                    for j, s in enumerate(segments):
+                        held = None
+                        for e in _entries_of(side(s)):
+                            e.offset += at
+                            if held is not None:
+                                size += out.write(directory_record(held))
+                            held, count = e, count + 1
+                        if held is not None:
+                            held.packed = totals.get(j, held.packed)
+                            size += out.write(directory_record(held))
                         at += s["bytes"]
                     end = end_records(count, size, at)
                     out.write(end)
@@ -187,6 +271,7 @@ def create_archives(entries: DataFrame, *, profile: str = "fast", chunk: int = X
     """Write an archive for each value of ``archive``; returns archive, path, n_entries, bytes.
 
     ``entries`` has archive, archive_path, is_directory, content, and entry_index (else by path). Names may repeat.
+    Entries of more than one chunk are dealt to tasks by chunks; the bytes do not depend on how.
     No entries make no archive. The cipher's headers are random; with a ``seed`` encrypted archives can be made again.
     """
     spark = entries.sparkSession
@@ -194,12 +279,10 @@ def create_archives(entries: DataFrame, *, profile: str = "fast", chunk: int = X
     folder = folder or new_path(spark, "archives")
     fs, root = open_shared(folder)
     fs.create_dir(root, recursive=True)
-    rows = planned.select("archive", F.col("entry_index").cast("long").alias("entry_index"), "archive_path", "method", "level", "chunk_size", "content", "flag", "is_directory")
-    rows = rows.select("archive", "entry_index", "archive_path", "method", "level", "chunk_size", "content", "flag", "is_directory")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "archive", "entry_index").sortWithinPartitions("archive", "entry_index")
-    segments = stored(dealt.mapInArrow(_segments(folder, password, seed), "archive string, first long, segment string, bytes long, n long"), "segments")
-    whole = segments.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("first", "segment", "bytes", "n"))).alias("segments"))
+    dealt = _dealt(planned).repartitionByRange(parts, "archive", "entry_index", "chunk_index").sortWithinPartitions("archive", "entry_index", "chunk_index")
+    segments = stored(dealt.mapInArrow(_segments(folder, password, seed), SEGMENT), "segments")
+    whole = segments.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("first", "chunk", "segment", "bytes", "ahead", "patch"))).alias("segments"))
     return stored(whole.mapInArrow(_assemble(folder), "archive string, path string, n_entries long, bytes long"), "archives")
 
 

@@ -202,3 +202,26 @@ def test_data_source_reads_slices(spark, tmp_path):
     got = spark.read.format("ziparchive").option("entriesPerPartition", "50").load(str(tmp_path))
     assert got.rdd.getNumPartitions() == 6
     assert [(r.entry_index, r.name, bytes(r.content)) for r in got.orderBy("entry_index").collect()] == [(k, f"e{k}", (str(k) * k).encode()) for k in range(257)]
+
+
+def test_chunks_of_large_entries_go_to_many_tasks(spark):
+    """Bytes are those of one task, also where a task begins or ends inside an entry, and other tools read them."""
+    import numpy as np
+
+    noise = np.random.default_rng(5).integers(0, 40, 3 << 20, np.uint8).tobytes()
+    files = [("small", b"s"), ("large", noise), ("empty", b""), ("next", noise[: 1 << 20][::-1]), ("d/", b""), ("photo.jpg", noise + noise[: 2 << 20]), ("end", b"e" * 200_000)]
+    rows = entries(spark, files)
+    for adaptive in (False, True):
+        one = A.create_archives(rows, chunk=65536, parts=1, adaptive=adaptive)
+        many = A.create_archives(rows, chunk=65536, parts=24, adaptive=adaptive)
+        assert body_of(one) == body_of(many)
+        with zipfile.ZipFile(io.BytesIO(body_of(many))) as z:
+            assert z.testzip() is None
+            assert [(i.filename, z.read(i)) for i in z.infolist()] == files
+    dealt = A._dealt(A.plan_entries(rows, chunk=65536)).repartitionByRange(24, "archive", "entry_index", "chunk_index")
+    tasks = dealt.where("archive_path = 'large'").select(F.spark_partition_id().alias("p"), "payload").groupBy("p").agg(F.max(F.octet_length("payload")).alias("n")).collect()
+    assert len(tasks) >= 6 and max(r.n for r in tasks) <= 65536
+    checks = {r.name: r.status for r in A.test_archives(many).collect()}
+    assert set(checks.values()) == {"ok"} and len(checks) == 6
+    sealed = A.create_archives(rows, chunk=65536, parts=24, password="pw", seed=1)
+    assert {r.name: bytes(r.content) for r in A.extract_archives(sealed, password="pw").collect()} == {k: v for k, v in files if not k.endswith("/")}
