@@ -168,8 +168,8 @@ class Tokenizer:
 
     Its pattern never joins a character with a space or newline that follows, so a text is cut before each
     of these that comes after something else than white space; the ids of the pieces make up the ids of the text.
-    Pieces are told apart by two 64-bit hashes with different seeds and each new one is encoded once. Where the
-    first hashes of different pieces meet, the batch goes to the library as it is.
+    Pieces are told apart by a 64-bit hash, and by their bytes (up to 8) or a hash with another seed; each new one is
+    encoded once. Where the hashes of different pieces meet, the batch goes to the library as it is.
     """
 
     def __init__(self, path: str, most: int = 1 << 20):
@@ -185,12 +185,40 @@ class Tokenizer:
             self.length[k] = len(token) if set(token) <= known else len(token.encode())
         self.forget()
 
-    def forget(self) -> None:
-        self.key = np.zeros(0, U64)
-        self.check = np.zeros(0, U64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+    def forget(self, needed: int = 0) -> None:
+        """An empty store with room for ``most`` pieces, or as many as are needed now."""
+        self.slots = np.full(1 << (4 * max(self.most, needed) - 1).bit_length(), -1, np.int32)  #: places in the arrays below, by key
+        self.held, self.n_ids = 0, 0
+        self.key, self.check = np.zeros(1, U64), np.zeros(1, U64)
+        self.at, self.n = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(1, np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys in the store, -1 for those that it does not have."""
+        slot = (keys & U64(len(self.slots) - 1)).astype(np.int64)
+        out = self.slots[slot]
+        other = np.flatnonzero((out >= 0) & (self.key[out] != keys))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.slots) - 1)
+            out[other] = there = self.slots[slot[other]]
+            other = other[(there >= 0) & (self.key[there] != keys[other])]
+        return out
+
+    def add(self, keys: np.ndarray, check: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Put distinct keys that the store does not have into it, with where their ids begin in ``ids``; their places."""
+        place = np.arange(self.held, self.held + len(keys), dtype=np.int32)
+        self.key, self.check = _put(self.key, self.held, keys), _put(self.check, self.held, check)
+        self.at, self.n = _put(self.at, self.held, at + self.n_ids), _put(self.n, self.held, n)
+        self.ids = _put(self.ids, self.n_ids, ids)
+        self.held, self.n_ids = self.held + len(keys), self.n_ids + len(ids)
+        slot = (keys & U64(len(self.slots) - 1)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slots[slot[todo]] < 0]
+            self.slots[slot[free]] = place[free]  # of several that meet in a slot one stays
+            todo = todo[self.slots[slot[todo]] != place[todo]]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+        return place
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last byte of the pieces; none spans two rows."""
@@ -211,37 +239,28 @@ class Tokenizer:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
         start, end = self.pieces(data, offsets)
-        key, check = hashes(data, start, end), hashes(data, start, end, 1)
-        distinct, example, inverse = np.unique(key, return_index=True, return_inverse=True)
+        key, check = hashes(data, start, end), _second(data, start, end)
+        coded = pa.array(key).dictionary_encode()
+        distinct, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        example = np.zeros(len(distinct), np.int64)
+        example[inverse] = np.arange(len(key))
         if (check[example][inverse] != check).any():
             return self.plain(column)
         check = check[example]
-        spot = np.searchsorted(self.key, distinct)
-        have = np.zeros(len(distinct), bool)
-        if len(self.key):
-            there = np.minimum(spot, len(self.key) - 1)
-            have = self.key[there] == distinct
-            if (have & (self.check[there] != check)).any():
-                return self.plain(column)
-        if not have.all():
-            if len(self.key) + np.count_nonzero(~have) > self.most:
-                self.forget()
-                have[:] = False
-            new = np.flatnonzero(~have)
+        place = self.find(distinct)
+        if ((place >= 0) & (self.check[place] != check)).any():
+            return self.plain(column)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if self.held + len(new) > self.most:
+                self.forget(len(distinct))
+                new = np.arange(len(distinct))
             ids, at, n = self.fresh(data, start[example[new]], end[example[new]])
-            spot = np.searchsorted(self.key, distinct[new])
-            self.at = np.insert(self.at, spot, len(self.ids) + at)
-            self.n = np.insert(self.n, spot, n)
-            self.key = np.insert(self.key, spot, distinct[new])
-            self.check = np.insert(self.check, spot, check[new])
-            self.ids = np.concatenate([self.ids, ids])
-            spot = np.searchsorted(self.key, distinct)
-        at, n = self.at[spot][inverse], self.n[spot][inverse]
-        ends = np.cumsum(n)
-        total = int(ends[-1])
-        out = self.ids[np.repeat(at - (ends - n), n) + np.arange(total)]
-        row = np.searchsorted(offsets, start, side="right") - 1
-        return out, np.bincount(row, weights=n, minlength=len(column)).astype(np.int64)
+            place[new] = self.add(distinct[new], check[new], at, n, ids)
+        at, n = self.at[place][inverse], self.n[place][inverse]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = self.ids[np.repeat(at - ends[:-1], n) + np.arange(int(ends[-1]))]
+        return out, np.diff(ends[np.searchsorted(start, offsets)])
 
     def plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`encode`, without the store."""
@@ -294,6 +313,29 @@ def _ends_letter(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second number of each span, independent of its hash: its own bytes and length up to 8 bytes, else a hash with another seed."""
+    from .words import hashes, mix
+
+    length = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    masks = np.array([*((1 << 8 * n) - 1 for n in range(8)), (1 << 64) - 1], U64)
+    few = np.minimum(length, 8)
+    out = (blocks[start] & masks[few]) ^ mix(np.arange(9, dtype=U64))[few]
+    long = np.flatnonzero(length > 8)
+    out[long] = hashes(data, start[long], end[long], 1)
+    return out
+
+
+def _put(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` from place n on; where that is beyond its end, an array of twice the size or more."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.zeros(max(len(held), n + len(more)), held.dtype)])
+    held[n : n + len(more)] = more
+    return held
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
