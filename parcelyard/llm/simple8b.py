@@ -44,6 +44,7 @@ BLOCK = 256
 #: the least width of a selector that holds ids of so many bits
 _WIDTHS = np.array([min(b for _, b in SELECTORS if b >= min(n, 60)) for n in range(62)], np.uint8)
 _AT_ONCE = 4096 * BLOCK  #: ids that are coded at once
+_RUN = 1024  #: new pieces that go to the library as one text
 MAGIC, END = b"S8TOKEN1", b"S8END..."
 
 
@@ -280,8 +281,8 @@ class Tokenizer:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)]
         total = 0
         several, single = np.flatnonzero(gap), np.flatnonzero(~gap)
-        for low in range(0, len(several), 4096):
-            mine = several[low : low + 4096]
+        for low in range(0, len(several), _RUN):
+            mine = several[low : low + _RUN]
             sizes = end[mine] - start[mine]
             edges = np.cumsum(sizes)
             run = data[np.repeat(start[mine] - (edges - sizes), sizes) + np.arange(int(edges[-1]))].tobytes().decode()
@@ -336,8 +337,9 @@ def _put(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
     return held
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def tokenizer(path: str) -> Tokenizer:
+    """The last tokenizer of this process. Its store, which is bounded, also serves later tasks of the same worker."""
     return Tokenizer(path)
 
 
@@ -370,7 +372,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
 
         for batch in batches:
             text, key = batch.column(1), batch.column(0)
-            for low, high in slices(text):
+            for low, high in slices(text, 1 << 20):
                 got, counts = tokenizer(path).encode(text.slice(low, high - low))
                 ends = np.cumsum(counts)
                 ids.append(np.insert(got, ends, np.uint32(end_id)))
@@ -381,7 +383,6 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
                     yield flush()
         if keys:
             yield flush()
-        tokenizer.cache_clear()  # the worker may be kept for other tasks
 
     return run
 
