@@ -32,13 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 class Stored:
-    """A DataFrame written as Parquet to the shared folder, so that its lineage is cut."""
+    """A DataFrame written as Parquet to the shared folder, so that its lineage is cut. With ``keep``, it outlives :func:`scratch`."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, keep: bool = False):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        for made in _open:
-            made.append(self)
+        if not keep:
+            for made in _open:
+                made.append(self)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
