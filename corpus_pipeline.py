@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parcelyard.llm import decontaminate, jaccard, mixing, simple8b, toxicity
 from parcelyard.llm.queries import tokenizer_path
-from parcelyard.llm.shared import stored
 from parcelyard.ship import ship
+from parcelyard.storage import Stored, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Tables in between are deleted as soon as the next stage is written; the token files stay."""
+    docs, before = ship(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            now = Stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return docs
