@@ -1,9 +1,10 @@
 import collections
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from parcelyard.llm.mixing import mix, mixed_documents
+from parcelyard.llm.mixing import mix, mixed_documents, word_count
 
 SCHEMA = "doc_id long, text string, source string, size string, copies int"
 
@@ -70,3 +71,46 @@ def test_mixed_documents_repeats_rows(spark):
     out = mixed_documents(docs)
     assert out.columns == docs.columns
     assert collections.Counter(r.doc_id for r in out.collect()) == collections.Counter({k: v for k, v in copies.items() if v})
+
+
+def copies_by_hand(rows, targets, most, seed):
+    """Rates by giving back what is above ``most``, then all of a source in the order of rank until its words are reached."""
+    out = collections.Counter()
+    for source, target in targets.items():
+        mine = [(key, size, weight) for key, of, size, weight in rows if of == source]
+        full = set()
+        while True:
+            left = sum(s * w for _, s, w in mine if w not in full)
+            rate = (target - sum(most * s for _, s, w in mine if w in full)) / left if left else 0.0
+            over = {w for _, _, w in mine if w not in full and rate * w >= most}
+            if not over:
+                break
+            full |= over
+        ranked, words = [], target
+        for key, size, weight in mine:
+            expected = float(most) if weight in full else rate * weight
+            out[key] = int(expected)
+            words -= size * int(expected)
+            part = expected - int(expected)
+            if part > 0:
+                u = (int(hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                ranked.append(((u / (1 - u)) / (part / (1 - part)), key, size))
+        taken = 0
+        for _, key, size in sorted(ranked):
+            taken += size
+            out[key] += taken - size / 2 <= words
+    return out
+
+
+@pytest.mark.parametrize("seed", [17, 5])
+def test_draws_are_those_of_a_plain_version(spark, seed):
+    rows = [(i, " ".join(["w"] * (i * 7919 % 97 + 1)), ["a", "b", "c", "hot", "hot", "hot"][i * 31 % 6]) for i in range(3000)]
+    weight = F.length(F.bin(word_count(F.col("text")))).cast("double") + 1
+    got = mix(rows_of(spark, rows), weight=weight, seed=seed).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.source] += r.size
+    targets = targets_by_hand(dict(sizes), (3, 1, 2), 1.5, 2)
+    want = copies_by_hand([(r.doc_id, r.source, r.size, r.size.bit_length() + 1.0) for r in got], targets, 2, seed)
+    assert {r.doc_id: r.copies for r in got} == {r.doc_id: want[r.doc_id] for r in got}
+    assert len(set(want.values())) == 3
