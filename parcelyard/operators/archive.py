@@ -337,8 +337,8 @@ CHECKS = "archive string, path string, entry_index long, name string, crc32 long
 _CHECKS = _schema(CHECKS)
 
 
-def decode(r: Ranges, e: Entry, password: str | None, clear: bytes | None = None) -> bytes:
-    """Content of an entry, all checks made; ``clear`` is its decrypted data, if that has been made with others'."""
+def decode(r: Ranges, e: Entry, password: str | None, clear: bytes | None = None, tried: bool = False) -> bytes:
+    """Content of an entry, all checks made; if ``tried``, ``clear`` is its data decrypted with others', or None for a wrong password."""
     if e.method == AES:
         raise ArchiveError("unsupported", f"winzip aes encrypted entries are not implemented: {e.text}")
     if e.method not in (STORE, DEFLATE):
@@ -350,7 +350,7 @@ def decode(r: Ranges, e: Entry, password: str | None, clear: bytes | None = None
             raise ArchiveError("invalid_job", "zip password is required when encryption is enabled")
         if len(data) < 12:
             raise ArchiveError("invalid_job", f"encrypted zip entry is truncated: {e.text}")
-        if clear is None:
+        if not tried:
             clear = codecs.decrypt_all([data], [verifier], password.encode())[0]
         if clear is None:
             raise ArchiveError("invalid_job", f"zip password is incorrect: {e.text}")
@@ -368,27 +368,27 @@ def decode(r: Ranges, e: Entry, password: str | None, clear: bytes | None = None
     return data
 
 
-def _decrypted(batch: pa.RecordBatch, password: str) -> dict[int, bytes]:
-    """Clear data of the encrypted entries of a batch by row, many at a time; what fails is left to :func:`decode`."""
-    out: dict[int, bytes] = {}
+def _decrypted(batch: pa.RecordBatch, password: str) -> dict[int, bytes | None]:
+    """Clear data of the encrypted entries of a batch by row, many at a time; None for a wrong password, as :func:`decode` need not try it again.
+
+    Entries that can't be read are left to :func:`decode`.
+    """
+    out: dict[int, bytes | None] = {}
     group: list[tuple[int, bytes, int]] = []
 
     def flush() -> None:
         for (k, _, _), clear in zip(group, codecs.decrypt_all([x[1] for x in group], [x[2] for x in group], password.encode())):
-            if clear is not None:
-                out[k] = clear
+            out[k] = clear
         group.clear()
 
     held = 0
-    for k, (path, size, flag, method, packed, offset) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "bytes", "flag", "method", "packed", "offset")))):
+    for k, (path, size, flag, method, crc, packed, offset) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("path", "bytes", "flag", "method", "crc32", "packed", "offset")))):
         if not flag & ENCRYPTED or packed > PIECE:
             continue
         fs, at = open_shared(path)
         with fs.open_input_file(at) as file:
-            r, e = Ranges(file, size), Entry(b"", flag, method, 0, packed, 0, offset, False)
+            r, e = Ranges(file, size), Entry(b"", flag, method, crc, packed, 0, offset, False)
             try:
-                head = r.read(offset, 30, "")
-                e.crc = struct.unpack_from("<I", head, 14)[0]
                 data, verifier = locate(r, e)
                 group.append((k, r.read(data, packed, ""), verifier))
             except ArchiveError:
@@ -419,7 +419,7 @@ def _read(password: str | None, content: bool):
                             file.close()
                         fs, at = open_shared(path)
                         file, opened = fs.open_input_file(at), path
-                    data = decode(Ranges(file, size), e, password, together.get(at_row))
+                    data = decode(Ranges(file, size), e, password, together.get(at_row), at_row in together)
                     got = zlib.crc32(data)
                     if got != crc:
                         raise ArchiveError("invalid_job", f"crc mismatch while {doing}: {name}")

@@ -225,3 +225,24 @@ def test_chunks_of_large_entries_go_to_many_tasks(spark):
     assert set(checks.values()) == {"ok"} and len(checks) == 6
     sealed = A.create_archives(rows, chunk=65536, parts=24, password="pw", seed=1)
     assert {r.name: bytes(r.content) for r in A.extract_archives(sealed, password="pw").collect()} == {k: v for k, v in files if not k.endswith("/")}
+
+
+def test_wrong_password_reads_headers_only(spark, monkeypatch):
+    """Every entry is refused by its header, once; only the one in 256 that the verifier lets pass is decrypted."""
+    files = [(f"f{k:02}", bytes([k % 251]) * 7 + b"some words %d " % k * 40 * (k % 9)) for k in range(80)]
+    made = A.create_archives(entries(spark, files), password="pw", seed=3)
+    with zipfile.ZipFile(io.BytesIO(body_of(made))) as z:
+        assert [(i.filename, z.read(i, pwd=b"pw")) for i in z.infolist()] == files
+        sizes = {i.filename: i.compress_size for i in z.infolist()}
+    listed = A.list_archives(made).withColumn("unsafe", F.lit(False)).orderBy("offset")
+    columns = ["archive", "path", "bytes", "entry_index", "name", "name_raw", "flag", "method", "crc32", "packed", "size", "offset", "unsafe"]
+    batches = listed.select(columns).toArrow().combine_chunks().to_batches()
+    seen, cipher = [], codecs._cipher
+    monkeypatch.setattr(codecs, "_cipher", lambda payloads, *rest: seen.extend(map(len, payloads)) or cipher(payloads, *rest))
+    rows = [r for b in A._read("another", False)(iter(batches)) for r in b.to_pylist()]
+    assert {r["name"] for r in rows} == set(sizes) and all(r["status"] == "invalid_job" for r in rows)
+    passed = [r["name"] for r in rows if r["message"] != f"zip password is incorrect: {r['name']}"]
+    assert len(passed) < 5 and sorted(seen) == sorted([12] * len(files) + [sizes[n] for n in passed])
+    seen.clear()
+    assert all(r["status"] == "ok" for b in A._read("pw", False)(iter(batches)) for r in b.to_pylist())
+    assert sum(seen) == 12 * len(files) + sum(sizes.values())
