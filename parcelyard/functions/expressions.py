@@ -177,11 +177,16 @@ def expansion_x100(size: Column, packed: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """In steps of 1024 up to TB; no decimals from 100 on, or for bytes."""
-    power = ladder(n, [(1 << 40, 4), (1 << 30, 3), (1 << 20, 2), (1 << 10, 1)], 0)
-    value = n.cast("double") / F.pow(F.lit(1024.0), power.cast("double"))
-    unit = F.element_at(F.array(*[F.lit(x) for x in ("B", "KB", "MB", "GB", "TB")]), power + 1)
-    return F.concat(F.when((value >= 100) | (power == 0), F.format_string("%.0f", value)).otherwise(F.format_string("%.1f", value)), F.lit(" "), unit)
+    """In steps of 1024 up to TB; no decimals from 100 on, or for bytes. Halves go to the even digit, as in C's printf (``rint``), and all quotients are exact."""
+    n = n.cast("long")
+
+    def shown(bits: int, unit: str) -> Column:
+        tenths = F.rint(n.cast("double") * 10 / F.lit(float(1 << bits))) / 10  # only of numbers under 2^47
+        low = n.bitwiseAND(F.lit((2 << bits) - 1))
+        whole = F.shiftright(n - low, bits) + F.rint(low / F.lit(float(1 << bits))).cast("long")
+        return F.concat(F.when(n >= 100 << bits, whole.cast("string")).otherwise(tenths.cast("string")), F.lit(f" {unit}"))
+
+    return ladder(n, [(1 << bits, shown(bits, unit)) for bits, unit in ((40, "TB"), (30, "GB"), (20, "MB"), (10, "KB"))], F.concat(n.cast("string"), F.lit(" B")))
 
 
 def list_line(is_directory: Column, size: Column, packed: Column, method: Column, encrypted: Column, crc: Column, name: Column) -> Column:

@@ -4,6 +4,7 @@ import subprocess
 import sys
 import zipfile
 import zlib
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,40 @@ def test_wrong_password_reads_headers_only(spark, monkeypatch):
     seen.clear()
     assert all(r["status"] == "ok" for b in A._read("pw", False)(iter(batches)) for r in b.to_pylist())
     assert sum(seen) == 12 * len(files) + sum(sizes.values())
+
+
+def test_human_bytes_rounds_halves_to_even(spark):
+    """As printf of the exact quotient, also right beside a half, for negative numbers, null and the largest."""
+    units = {1 << 10 * p: u for p, u in enumerate(("B", "KB", "MB", "GB", "TB"))}
+    sizes = {0, 1, 999, 1023, -1, -1536, (1 << 63) - 1, (1 << 53) + 1}
+    for unit in list(units)[1:]:
+        for part in (4, 5, 7, 9, 396, 397, 398, 399, 400, 402, 404, 406, 410, 4094, 4095):  # quarters
+            sizes |= {unit * part // 4 + k for k in (-1, 0, 1)}
+        sizes |= {unit * k // 20 + j for k in range(20, 60) for j in (-1, 0, 1)}
+
+    def plain(n):
+        unit = max((u for u in units if n >= u), default=1)
+        if unit == 1:
+            return f"{n} B"
+        tenths = n < 100 * unit
+        q = round(Fraction(n * (10 if tenths else 1), unit))  # halves to even
+        return f"{q // 10}.{q % 10} {units[unit]}" if tenths else f"{q} {units[unit]}"
+
+    table = spark.createDataFrame([(n,) for n in sorted(sizes)] + [(None,)], "n long")
+    got = {r.n: r.t for r in table.select("n", X.human_bytes(F.col("n")).alias("t")).collect()}
+    assert got.pop(None) is None
+    assert got == {n: plain(n) for n in sizes}
+    assert [got[n] for n in (1280, 1792, 102912, 103936, (1 << 30) * 5 // 4)] == ["1.2 KB", "1.8 KB", "100 KB", "102 KB", "1.2 GB"]
+
+
+def test_format_bytes_of_halves_has_the_rows_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from parcelyard.plans import queries
+
+    ties = [(342149885, 5), (767404694, 6), (751134717, 5), (224073828, 4), (119703243, 3), (170200470, 6), (746075645, 5), (836670820, 4), (189553455, 7), (636942876, 3), (2922493, 5), (7334091, 3), (8828669, 5), (None, 1), (-7, 2)]
+    spark.createDataFrame(ties, "l_orderkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.l_orderkey, r.l_linenumber): r.text for r in queries.QUERIES["format_bytes"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == {(a, b): c for a, b, c in db.execute(queries.SQL["format_bytes"]).fetchall()} and len(got) == len(ties)
